@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import fingerprints, language_id, media, packing, toxicity
+from glyphstream.llm import debruijn, fingerprints, language_id, media, packing, simhash_neardup, suffix_dedup, toxicity
 from glyphstream.llm.common import crc_mod, table
 
 
@@ -22,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs)
@@ -38,9 +42,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removed_words_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_language_id, op4_fingerprints, op5_packing, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_language_id, op4_fingerprints, op5_packing, op7_simhash_neardup, op9_debruijn_dedup, op10_media)}
 ORACLE_SQL: dict[str, str] = {}
