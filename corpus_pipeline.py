@@ -1,7 +1,76 @@
-"""documents through the stages; see STAGES."""
+"""documents through five stages: toxicity, language, near duplicates, repeated substrings, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; its result is
+written as Parquet and read again as the next one's docs.  All but the last return the columns of
+documents.  Empty tables pass through; a null text counts as empty and is rejected by the language stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphstream.llm import language_id, packing, simhash_neardup, suffix_dedup, toxicity
+from glyphstream.llm.common import checkpoint_dir, table
+from glyphstream.llm.queries import tokenizer_path
+
+LEAST_CONFIDENCE = 0.5
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5; the model learns from the labels of sf_dir."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score_documents(docs, model, ",".join(c for c in docs.columns if c != "doc_id"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is told with a confidence of 0.5 at least."""
+    model = language_id.train(docs)
+    found = language_id.predict_documents(docs, model, ",".join(c for c in docs.columns if c != "doc_id"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CONFIDENCE)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, 4 of 64 bits) the smallest doc_id; all rows without one."""
+    found = simhash_neardup.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), width=5, radius=4, segments=9)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of strings of 200 bytes; documents that consist of copies alone go."""
+    left = suffix_dedup.remove_substrings(docs, length=200, keep_first=True)
+    left = left.where((F.col("kept_text") != "") | (F.coalesce("text", F.lit("")) == ""))
+    return left.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of 2048 ids."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("language_id", language_stage),
+    ("simhash_neardup", near_duplicate_stage),
+    ("suffix_dedup", suffix_stage),
+    ("packing", packing_stage),
+]
+
+#: Trained models and hashed fingerprints: SQL can't express the first stage.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/glyph-pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")

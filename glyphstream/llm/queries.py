@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphstream.llm import debruijn, fingerprints, language_id, media, packing, simhash_neardup, suffix_dedup, toxicity
+from glyphstream.llm import debruijn, fingerprints, language_id, licenses, media, packing, sentencepiece, simhash_neardup, suffix_dedup, toxicity
 from glyphstream.llm.common import crc_mod, table
 
 
@@ -42,10 +42,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.code_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.removed_words_digest(table(spark, sf_dir, "documents"))
 
@@ -54,5 +62,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_language_id, op4_fingerprints, op5_packing, op7_simhash_neardup, op9_debruijn_dedup, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_language_id, op4_fingerprints, op5_packing, op6_sentencepiece, op7_simhash_neardup, op8_license_scan, op9_debruijn_dedup, op10_media)}
 ORACLE_SQL: dict[str, str] = {}

@@ -102,7 +102,7 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[t
 
 
 def find_runs(keyed: DataFrame, units: Units) -> DataFrame:
-    """(d, key, ctx, lo, hi, twice) rows of all documents."""
+    """(d, key, ctx, lo, hi, twice, copies) of all documents; equal runs of a slice are one row with the first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches):
@@ -111,11 +111,18 @@ def find_runs(keyed: DataFrame, units: Units) -> DataFrame:
                 found.append(units.runs(*units.split(t)))
                 counts.append(len(found[-1][0]))
             lo, hi, key, ctx, twice = (np.concatenate(x) for x in zip(*found))
-            d = batch.column(0).take(pa.array(np.repeat(np.arange(len(texts)), counts)))
-            yield pa.RecordBatch.from_arrays([d, pa.array(key), pa.array(ctx), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(twice.astype(bool))], ["d", "key", "ctx", "lo", "hi", "twice"])
+            own, copies = np.repeat(np.arange(len(texts)), counts), np.ones(len(key), np.int64)
+            if pa.types.is_integer(batch.column(0).type) and len(key):
+                order = np.lexsort((lo, batch.column(0).to_numpy()[own], ctx, key))
+                k, c = key[order], ctx[order]
+                new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
+                copies = np.diff(np.append(new, len(order)))
+                first = order[new]
+                own, key, ctx, lo, hi, twice = own[first], key[first], ctx[first], lo[first], hi[first], twice[first]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(key), pa.array(ctx), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(twice.astype(bool)), pa.array(copies)], ["d", "key", "ctx", "lo", "hi", "twice", "copies"])
 
     kind = dict(keyed.dtypes)["d"]
-    return keyed.select("d", F.col("row.text").alias("text")).mapInArrow(run, f"d {kind}, key bigint, ctx bigint, lo int, hi int, twice boolean")
+    return keyed.select("d", F.col("row.text").alias("text")).mapInArrow(run, f"d {kind}, key bigint, ctx bigint, lo int, hi int, twice boolean, copies bigint")
 
 
 def extract(wanted: DataFrame, units: Units, single: bool) -> DataFrame:
@@ -154,13 +161,15 @@ def windows_that_stay(keyed: DataFrame, units: Units, *, first_stays: bool, by_t
     by_text settles the mixed runs (key, copies, d, lo, hi, text) of minimizers with at most
     `most` runs and returns (d, lo, hi); without it all go by single windows.
     """
-    runs = find_runs(keyed, units)
+    runs = find_runs(keyed, units).where("key is not null").repartition("key")
+    # That shuffle serves the counts and the join: filters that drop nothing and sums that matter
+    # little keep its columns and conditions the same in each use, or Spark would make it anew.
     place = F.struct("d", "lo", "hi")
-    keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"), F.max("twice").alias("twice"), F.min(place).alias("f")).where("f is not null")
+    keys = runs.groupBy("key").agg(F.sum("copies").alias("n"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"), F.max("twice").alias("twice"), F.min(place).alias("f")).where("f is not null and n > 0")
     mixed = F.col("twice") | (F.col("c0") != F.col("c1"))
     settled = keys.where(~mixed if first_stays else ~mixed & (F.col("n") == 1)).select("f.*")
     several = keys.where(mixed).select("key", "n")
-    kinds = runs.join(several, "key").groupBy("key", "ctx").agg(F.count("*").alias("copies"), F.min(place).alias("f"), F.max("n").alias("n"))
+    kinds = runs.join(several, "key").groupBy("key", "ctx").agg(F.sum("copies").alias("copies"), F.min(place).alias("f"), F.max(F.col("n") + F.col("twice").cast("int")).alias("n"))
     wanted = kinds.select("f.d", "n", F.struct("key", "copies", "f.lo", "f.hi").alias("run"))
 
     def pick(rows: DataFrame) -> DataFrame:
@@ -175,7 +184,7 @@ def windows_that_stay(keyed: DataFrame, units: Units, *, first_stays: bool, by_t
         texts = extract(pick(wanted.where(F.col("n") <= most)), units, False)
         found = found.unionByName(by_text(texts)).unionByName(singles(wanted.where(F.col("n") > most)))
     else:
-        found = found.unionByName(singles(wanted))
+        found = found.unionByName(singles(wanted.where("n > 0")))
     return found.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("stay"))
 
 
