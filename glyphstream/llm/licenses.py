@@ -77,7 +77,7 @@ class Scanner:
             if not at or at <= used:
                 continue
             inside = sum(1 for i in range(min(at), max(at) + 1) if i not in at)  # words put in between
-            different = len(want) - len(at) + inside
+            different = max(len(want) - len(at), inside)  # a word put for another counts once
             if different <= self.most_different * len(want):
                 found.append((name, round(saving, 6), different, different == 0))
                 used |= at
