@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from glyphstream.functions.regex import compile_regex
 
-_BREAK = re.compile("\r\n|[\n\x0b\f\r\x85  ]")
+_BREAK = re.compile("\r\n|[\n\x0b\f\r\x85\u2028\u2029]")
 
 
 def number_lines(stream: DataFrame, key: str, seq: str, text: str) -> DataFrame:
