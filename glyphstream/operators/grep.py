@@ -22,6 +22,12 @@ def _test(pattern, invert: bool, options: dict):
     return lambda x: ~regex.predicate(x) if invert else regex.predicate(x)
 
 
+def _possible(text: Column, pattern, invert: bool, options: dict) -> Column:
+    """False for texts that can't have a hit, told without splitting them."""
+    plain = None if invert else _compiled(pattern, **options).plain
+    return F.lit(True) if plain is None else text.contains(plain)
+
+
 def hits(text: Column, pattern, *, invert: bool = False, mode: str = "unicode", **options) -> Column:
     """The matching lines of a text as an array."""
     return F.filter(line_array(text, mode), _test(pattern, invert, options))
@@ -29,14 +35,16 @@ def hits(text: Column, pattern, *, invert: bool = False, mode: str = "unicode",
 
 def count(df: DataFrame, key: str, text: str, pattern, *, invert: bool = False, max_count: int | None = None, mode: str = "unicode", **options) -> DataFrame:
     """(key, n): matching lines of each text, also where n is 0; null texts have none."""
-    n = F.coalesce(F.size(hits(F.col(text), pattern, invert=invert, mode=mode, **options)), F.lit(0))
+    n = F.size(hits(F.col(text), pattern, invert=invert, mode=mode, **options))
+    n = F.coalesce(F.when(_possible(F.col(text), pattern, invert, options), n), F.lit(0))
     if max_count is not None:
         n = F.least(n, F.lit(max_count))
     return df.select(key, F.greatest(n, F.lit(0)).cast("bigint").alias("n"))
 
 
 def has_match(text: Column, pattern, *, invert: bool = False, mode: str = "unicode", **options) -> Column:
-    return F.coalesce(F.exists(line_array(text, mode), _test(pattern, invert, options)), F.lit(False))
+    found = F.exists(line_array(text, mode), _test(pattern, invert, options))
+    return F.coalesce(_possible(text, pattern, invert, options) & found, F.lit(False))
 
 
 def files_with_match(df: DataFrame, key: str, text: str, pattern, **options) -> DataFrame:
@@ -64,7 +72,7 @@ def match(df: DataFrame, key: str, text: str, pattern, *, invert: bool = False,
         found = F.filter(numbered, lambda x: test(x["line"]))
         if max_count is not None:
             found = F.slice(found, 1, max_count)
-        return df.select(key, F.explode(found).alias("x")).select(key, "x.line_no", "x.line")
+        return df.where(_possible(F.col(text), pattern, invert, options)).select(key, F.explode(found).alias("x")).select(key, "x.line_no", "x.line")
     own = lines(df, key, text, mode).withColumn("hit", test(F.col("line")))
     order = Window.partitionBy(key).orderBy("line_no")
     if max_count is not None:
