@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass.
 
 A text is normalised and cut where a piece can't reach across: before each run of word marks that
-follows another sign.  The distinct marked words of a batch are sorted, which lays them out as a trie
+follows another sign, and between signs that no piece joins.  The distinct marked words of a batch are sorted, which lays them out as a trie
 in depth-first order; the forward states (which piece ends here, and where it starts) of the
 prefix shared with the word before are used again, and only the rest of a word is worked on.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from glyphstream.llm.common import slices
 
 MARK = "▁"
-_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+NEVER = float("-inf")
 _OPEN: dict[str, Coder] = {}
 
 
@@ -41,37 +42,59 @@ class Coder:
         self.ids = {self.pieces[i]: i for i in plain}
         self.score = {self.pieces[i]: p.get_score(i) for i in plain}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(size) if p.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.silent = {i for i in range(size) if p.is_control(i)}
-        self.longest = max(map(len, self.ids))
-        self.agree: dict[tuple[str, str], bool] = {}
+        byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.spelled = [b"" if p.is_control(i) else byte_of.get(i) or self.pieces[i].replace(MARK, " ").encode() for i in range(size)]
+        found: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                found.setdefault(piece[-2:], {1}).add(len(piece))
+        self.lengths = {tail: sorted(x, reverse=True) for tail, x in found.items()}  # of pieces with these last two signs
+        self.words = self.cuts()
+        self.agree: dict[str, dict[str, bool]] = {piece: {} for piece in self.ids}
+        self.pairs = 0
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
+    def cuts(self) -> re.Pattern:
+        """A pattern of words that no piece reaches across: marks and what follows them, parted at other
+        signs too where the vocabulary never joins them: letters from non-letters, signs that are in no longer piece."""
+        pairs = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
+        joined = set("".join(pairs)) - {MARK}
+        letters = {x for x in joined if x.isalpha()}
+        mixed = any(MARK not in (a, b) and (a in letters) != (b in letters) for a, b in pairs)
+        if any(b == MARK and a != MARK for a, b in pairs):
+            return re.compile("(?s).+")
+        kinds = [joined] if mixed else [letters, joined - letters]
+        classes = ["[" + "".join(map(re.escape, sorted(x))) + "]+" for x in kinds if x]
+        return re.compile("|".join([*[f"{MARK}*{x}" for x in classes], f"{MARK}+", f"[^{MARK}]"]))
+
     def merged(self, word: str) -> list[str]:
         """Merging by rank, the first of equals first: the definition that the forward pass must meet."""
         parts, score = list(word), self.score
         while len(parts) > 1:
-            best = max(((score[a + b], -k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in score), default=None)
-            if best is None:
+            ranks = [score.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            best = max(ranks)
+            if best == NEVER:
                 break
-            k = -best[1]
+            k = ranks.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
     def fits(self, last: str, piece: str) -> bool:
-        found = self.agree.get((last, piece))
-        if found is None:
-            if len(self.agree) > 2_000_000:
-                self.agree.clear()
-            found = self.agree[last, piece] = self.merged(last + piece) == [last, piece]
+        """Whether merging both pieces' signs gives just these two pieces; kept in self.agree."""
+        if self.pairs > 2_000_000:
+            for known in self.agree.values():
+                known.clear()
+            self.pairs = 0
+        found = self.agree[last][piece] = self.merged(last + piece) == [last, piece]
+        self.pairs += 1
         return found
 
     def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
         """Ids of each of the sorted words; states of the shared prefix are kept from word to word."""
         start, last = [-1], [None]  # per prefix length: where its last piece starts; that piece
         before = ""
-        ids, fits, longest = self.ids, self.fits, self.longest
+        ids, agree, lengths = self.ids, self.agree, self.lengths
         for word in words:
             n = 0
             for a, b in zip(before, word):
@@ -80,12 +103,17 @@ class Coder:
                 n += 1
             del start[n + 1 :], last[n + 1 :]
             for end in range(n + 1, len(word) + 1):
-                for at in range(max(0, end - longest), end):
-                    piece = word[at:end]
-                    if piece in ids and start[at] is not None and (last[at] is None or fits(last[at], piece)):
-                        start.append(at)
-                        last.append(piece)
-                        break
+                for size in lengths.get(word[max(0, end - 2) : end], (1,)):
+                    at = end - size
+                    if at < 0 or start[at] is None or (piece := word[at:end]) not in ids:
+                        continue
+                    if (own := last[at]) is not None:
+                        fits = agree[own].get(piece)
+                        if not (self.fits(own, piece) if fits is None else fits):
+                            continue
+                    start.append(at)
+                    last.append(piece)
+                    break
                 else:  # a sign without a piece: bytes, and nothing merges across
                     start.append(end - 1 if word[end - 1] not in ids else None)
                     last.append(None)
@@ -93,37 +121,28 @@ class Coder:
             out, at = [], len(word)
             while at > 0 and start[at] is not None:
                 piece = last[at]
-                out.append([ids[piece]] if piece is not None else [self.bytes[b] for b in word[start[at] : at].encode("utf-8", "replace")])
+                if piece is not None:
+                    out.append(ids[piece])
+                else:
+                    out += [self.bytes[b] for b in reversed(word[start[at] : at].encode("utf-8", "replace"))]
                 at = start[at]
-            yield [i for x in reversed(out) for i in x] if at == 0 else [i for p in self.merged(word) for i in ([ids[p]] if p in ids else [self.bytes[b] for b in p.encode("utf-8", "replace")])]
+            yield out[::-1] if at == 0 else [i for p in self.merged(word) for i in ([ids[p]] if p in ids else [self.bytes[b] for b in p.encode("utf-8", "replace")])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers."""
-        split = [_WORDS.findall(self.processor.normalize(t)) if t else [] for t in texts]
-        new = sorted({w for x in split for w in x}.difference(self.known))
+        split = [self.words.findall(self.processor.normalize(t)) if t else [] for t in texts]
+        new = sorted(set().union(*split).difference(self.known))
         if new:
             if len(self.known) + len(new) > self.keep:
                 self.known.clear()
-                new = sorted({w for x in split for w in x})
+                new = sorted(set().union(*split))
             for w, ids in zip(new, self.encode_sorted(new)):
-                self.known[w] = b"".join([i.to_bytes(4, "little") for i in ids])
+                self.known[w] = array("I", ids).tobytes()
         return [b"".join(map(self.known.__getitem__, x)) for x in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text: marks become blanks, byte pieces UTF-8; the blank put before the text is taken off."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if i not in self.silent:
-                out.append(self.pieces[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ").removeprefix(" ")
+        return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
 
 
 def coder(path: str) -> Coder:
