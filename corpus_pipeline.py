@@ -19,32 +19,47 @@ from glyphstream.llm.queries import tokenizer_path
 LEAST_CONFIDENCE = 0.5
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, numbered, so that no name clashes with what an operator adds."""
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *rest).alias("row"))
+
+
+def unboxed(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of docs again, of a table that has boxed()'s; the column `text` holds the texts."""
+    at = {"doc_id": "doc_id", "text": text}
+    return found.select(*[F.col(at.get(c, f"row.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the model learns from the labels of sf_dir."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = toxicity.score_documents(docs, model, ",".join(c for c in docs.columns if c != "doc_id"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return unboxed(toxicity.score_documents(boxed(docs), model, "text,row").where("predicted = 0"), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is told with a confidence of 0.5 at least."""
-    model = language_id.train(docs)
-    found = language_id.predict_documents(docs, model, ",".join(c for c in docs.columns if c != "doc_id"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CONFIDENCE)).select(*docs.columns)
+    found = language_id.predict_documents(boxed(docs), language_id.train(docs), "text,row")
+    return unboxed(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CONFIDENCE)), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, 4 of 64 bits) the smallest doc_id; all rows without one."""
+    """Of each group of near copies (five-word shingles, 4 of 64 bits) the rows of the smallest doc_id; all rows without one."""
     found = simhash_neardup.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), width=5, radius=4, segments=9)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return docs.join(kept, "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of strings of 200 bytes; documents that consist of copies alone go."""
-    left = suffix_dedup.remove_substrings(docs, length=200, keep_first=True)
-    left = left.where((F.col("kept_text") != "") | (F.coalesce("text", F.lit("")) == ""))
-    return left.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}).select(*docs.columns)
+    """Texts without later copies of strings of 200 bytes; documents that consist of copies alone go.
+
+    n_chars, if it is there, is counted anew.
+    """
+    left = suffix_dedup.remove_substrings(boxed(docs), length=200, keep_first=True)
+    left = unboxed(left.where((F.col("kept_text") != "") | (F.coalesce("text", F.lit("")) == "")), docs, "kept_text")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return left
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from glyphstream.llm import components, debruijn, fingerprints, language_id, licenses, media, packing, sentencepiece, simhash_neardup, suffix_dedup, toxicity
 from glyphstream.llm.queries import tokenizer_path
@@ -276,3 +277,33 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.collect()
     assert 100 < len({r["doc_id"] for r in rows}) <= 200 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_keep_columns_of_clashing_names_and_clean_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    names = ["score", "predicted", "lang_pred", "kept_text", "row", "component_id", "fp", "a.b"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert len(rows) > 100, name
+        for r in rows:
+            assert [r[n] for n in names] == [f"{n} {r['doc_id']}" for n in names], name
+            assert name != "suffix_dedup" or r["n_chars"] == len(r["text"])
+        assert out.where(F.lit(False)).count() == 0
+        assert stage(spark, docs.limit(0), sf).collect() == [], name
+
+
+def test_stages_on_nulls_and_repeated_rows(spark):
+    import corpus_pipeline
+
+    text = "the house was old and the garden was full of trees that nobody had seen for many years " * 3
+    docs = spark.createDataFrame([(1, text, None, None, None), (1, text, "en", "s", 1), (None, text, "en", "s", 1), (3, None, "en", "s", 0), (4, "", None, "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, "/root/testdata/sf0.001").collect()
+        ids = sorted((r["doc_id"] or 0) for r in rows)
+        assert ids == {"toxicity": [0, 1, 1, 3, 4], "language_id": [0, 1, 1], "simhash_neardup": [0, 1, 1, 3], "suffix_dedup": [0, 3, 4]}[name], name
