@@ -133,6 +133,38 @@ def test_simhash_rows(spark):
     assert own[9, "0" * 16] == own[3, "0" * 16] == 3 and own[4, f"{xxhash.xxh64_intdigest('é z'.encode(), 42):016x}"] == 4 and len(got) == 7
 
 
+@pytest.mark.parametrize("most", [4096, 8])
+def test_similar_documents(spark, most):
+    """Against all pairs: links only at 0.8 or more (or 4 of 64 bits), and nearly all of those."""
+    rng = random.Random(3)
+    rows = []
+    for group in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((30, 80, 300)))]
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 40)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900, "one two"), (901, "ONE  two"), (902, ""), (903, None), (904, "x"), (None, rows[0][1]), (7, rows[7][1]), (905, " ".join(rows[0][1].split()[:-1]))]
+    got = simhash_neardup.similar_documents(frame(spark, rows), most=most).collect()
+    assert len(got) == len(rows)
+    of = {r["doc_id"]: r["component_id"] for r in got}
+    sets = {i: set(simhash_neardup.shingle_hashes(t or "", 5).tolist()) for i, t in rows}
+    fps = {i: simhash_neardup.shingle_fingerprint(t or "", 5) for i, t in rows}
+    joined = {i: i for i in sets}
+    linked = missed = 0
+    for a in sets:
+        for b in sets:
+            alike = len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+            if alike >= 0.8 or (fps[a] ^ fps[b]).bit_count() <= 4:
+                linked, missed = linked + 1, missed + (of[a] != of[b])
+                old, new = joined[a], joined[b]
+                joined = {k: new if v == old else v for k, v in joined.items()}
+    assert linked > 400 and missed <= 0.02 * linked
+    assert all(joined[a] == joined[b] for a in of for b in of if of[a] == of[b])
+    assert of[901] == of[900] == 900 and of[903] == of[902] == 902 and of[904] == 904 and of[None] == of[0] == of[905]
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t in corpus(2) if i is not None]
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_with_next(frame(spark, rows)).collect()}
@@ -267,7 +299,7 @@ def test_language(spark):
 def test_empty_tables(spark):
     none = frame(spark, [])
     path = tokenizer_path("word_bpe_49k.json")
-    for df in (suffix_dedup.removed_digest(none), debruijn.removed_words_digest(none), simhash_neardup.near_duplicates(none), fingerprints.fingerprint_with_next(none), packing.pack_documents(none, path), licenses.scan_documents(none), sentencepiece.code_digest(none, tokenizer_path("piece_bpe_32k.model"))):
+    for df in (suffix_dedup.removed_digest(none), debruijn.removed_words_digest(none), simhash_neardup.near_duplicates(none), simhash_neardup.similar_documents(none), fingerprints.fingerprint_with_next(none), packing.pack_documents(none, path), licenses.scan_documents(none), sentencepiece.code_digest(none, tokenizer_path("piece_bpe_32k.model"))):
         assert df.count() == 0
 
 
