@@ -44,8 +44,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, 4 of 64 bits) the rows of the smallest doc_id; all rows without one."""
-    found = simhash_neardup.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), width=5, radius=4, segments=9)
+    """Of each group of near copies (five-word shingles, a similarity of 0.8 or more) the rows of the smallest doc_id; all rows without one."""
+    found = simhash_neardup.similar_documents(docs.where("doc_id is not null").select("doc_id", "text"), width=5, threshold=0.8)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
