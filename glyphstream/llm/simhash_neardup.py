@@ -62,6 +62,11 @@ def shingle_fingerprint(text: str, width: int = 3) -> int:
     return majority(shingle_hashes(text, width))
 
 
+def set_id(distinct: np.ndarray) -> int:
+    """A signed 64-bit number for the set of the sorted distinct hashes."""
+    return signed(xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED))
+
+
 def wide_sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
     """1024 majority bits of the distinct hashes h, and a key for each band of their smallest mixed values."""
     votes, lanes = np.zeros(WIDE, np.int64), WIDE // 64
@@ -202,18 +207,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segment
     return named(own, links)
 
 
-def named(own: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows (doc_id, fp) with their components by the links (a, b) between fp."""
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def named(own: DataFrame, links: DataFrame, node: str = "fp") -> DataFrame:
+    """The rows (doc_id, fp) with their components by the links (a, b) between the values of node."""
+    distinct = own.groupBy(node).agg(F.min("doc_id").alias("least"))
     roots = connected_components(links)
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct[node] == roots.node, "left").select(node, "least", F.coalesce("root", node).alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = rooted.join(least, "root").select(node, "component_id")
+    return own.join(found, node).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp, n, wide, keys) of docs (doc_id, text): n distinct shingles; no keys without words."""
+    """(doc_id, fp, sid, n, wide, keys) of docs (doc_id, text): sid names the set of n distinct shingles; no keys without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -221,13 +226,13 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t or "", width)
                 own = np.unique(h)
-                rows.append((signed(majority(h)), len(own), *(wide_sketch(own) if len(own) else (b"", []))))
-            fp, n, wide, keys = zip(*rows)
-            columns = [batch.column(0), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "wide", "keys"])
+                rows.append((signed(majority(h)), set_id(own), len(own), *(wide_sketch(own) if len(own) else (b"", []))))
+            fp, sid, n, wide, keys = zip(*rows)
+            columns = [batch.column(0), pa.array(fp, pa.int64()), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sid", "n", "wide", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint, n bigint, wide binary, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint, sid bigint, n bigint, wide binary, keys array<bigint>")
 
 
 def likely_links(n: np.ndarray, wide: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -247,27 +252,27 @@ def likely_links(n: np.ndarray, wide: np.ndarray, least: float) -> list[tuple[in
 
 
 def similar_links(rows: DataFrame, threshold: float, slack: float, most: int) -> DataFrame:
-    """Links (a, b) between the fp of rows (fp, n, wide, keys), likely at `threshold` less `slack` or more.
+    """Links (a, b) between the sid of rows (sid, n, wide, keys), likely at `threshold` less `slack` or more.
 
     A bucket of more than `most` rows is cut into blocks, and each pair of blocks is a bucket of its own.
     """
-    keyed = rows.select("fp", "n", "wide", F.posexplode("keys").alias("band", "key"))
+    keyed = rows.select("sid", "n", "wide", F.posexplode("keys").alias("band", "key"))
     large = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where(F.col("size") > most)
     large = large.select("band", "key", F.ceil(2 * F.col("size") / most).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != mine)
     pairs = F.transform(others, lambda k: F.struct(F.least(k, mine).alias("x"), F.greatest(k, mine).alias("y")))
     alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-    dealt = keyed.join(large, ["band", "key"], "left").select("band", "key", "fp", "n", "wide", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("at"))
-    dealt = dealt.select("band", "key", "at.x", "at.y", "fp", "n", "wide")
+    dealt = keyed.join(large, ["band", "key"], "left").select("band", "key", "sid", "n", "wide", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("at"))
+    dealt = dealt.select("band", "key", "at.x", "at.y", "sid", "n", "wide")
 
     def buckets(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fp, n = (t.column(c).to_numpy() for c in ("fp", "n"))
+        sid, n = (t.column(c).to_numpy() for c in ("sid", "n"))
         wide, links = t.column("wide"), []
         for a, b in zip(edges, edges[1:]):
             if b - a > 1:
                 bits = np.frombuffer(b"".join(wide[int(a) : int(b)].to_pylist()), np.uint64).reshape(b - a, -1)
-                links += [(int(fp[a + x]), int(fp[a + y])) for x, y in likely_links(n[a:b], bits, threshold - slack)]
+                links += [(int(sid[a + x]), int(sid[a + y])) for x, y in likely_links(n[a:b], bits, threshold - slack)]
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
@@ -288,40 +293,59 @@ def similar_links(rows: DataFrame, threshold: float, slack: float, most: int) ->
     return dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(links: DataFrame, docs: DataFrame, own: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The links (a, b) whose whole shingle sets have a similarity of `threshold` or more."""
-    nodes = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    wanted = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(nodes, "fp").select("fp", "doc_id")
+def confirmed(links: DataFrame, docs: DataFrame, least: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The links (a, b) whose whole shingle sets have a similarity of `threshold` or more; least has (sid, least), a doc_id of each set."""
+    nodes = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct()
+    wanted = cut(least.join(nodes, "sid").select("sid", F.col("least").alias("doc_id")))
+    if wanted.count() <= 100_000:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            found = [(fp, h) for fp, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if signed(majority(h := shingle_hashes(t or "", width))) == fp]
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            found = [(sid, own) for sid, t in rows if set_id(own := np.unique(shingle_hashes(t or "", width))) == sid]
             if found:
-                hashes = pa.array([np.unique(h).view(np.int64) for _, h in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in found], pa.int64()), hashes], ["fp", "hashes"])
+                hashes = pa.array([own.view(np.int64) for _, own in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([sid for sid, _ in found], pa.int64()), hashes], ["sid", "hashes"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id)).select("fp", "text").mapInArrow(run, "fp bigint, hashes array<bigint>")
-    sets = cut(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")))
+    sets = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id)).select("sid", "text").mapInArrow(run, "sid bigint, hashes array<bigint>")
+    sets = cut(sets.groupBy("sid").agg(F.first("hashes").alias("hashes")))
     for c in ("a", "b"):
-        links = links.join(sets.select(F.col("fp").alias(c), F.col("hashes").alias(f"of_{c}")), c)
+        links = links.join(sets.select(F.col("sid").alias(c), F.col("hashes").alias(f"of_{c}")), c)
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return links.where(shared >= threshold * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
+def close_links(own: DataFrame, radius: int, segments: int) -> DataFrame:
+    """Links (a, b) between the sets of equal fingerprints and of those within `radius` bits, one set for each fingerprint."""
+    of = cut(own.groupBy("fp").agg(F.min("sid").alias("sid")))
+    same = own.select("fp", F.col("sid").alias("a")).distinct().join(of.select("fp", F.col("sid").alias("b")), "fp").select("a", "b")
+    near = links_within(of.select("fp"), radius, segments)
+    for c in ("a", "b"):
+        near = near.join(of.select(F.col("fp").alias(c), F.col("sid").alias(f"of_{c}")), c)
+    return ordered(same.unionByName(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+
+
+def ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
 def similar_documents(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, slack: float = 0.06, radius: int = 4, segments: int = 9, most: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for each row of docs.
 
-    Linked are texts within `radius` of 64 bits, and those standing for what these links join if their sets of
-    shingles have a similarity of `threshold` or more.  Two texts at a similarity of 0.8 meet in no
-    band with a probability of 0.002, and `slack` is 2.3 standard deviations of the estimate there.  Nulls, empty
-    texts, repeated rows and empty tables as in near_duplicates().
+    Linked are texts whose sets of shingles have a similarity of `threshold` or more; every link is confirmed with the
+    whole sets.  Candidates are texts within `radius` of 64 bits, and those standing for what the first links join.
+    Two texts at a similarity of 0.8 meet in no band with a probability of 0.002, and `slack` is 2.3
+    standard deviations of the estimate there.  Nulls, empty texts, repeated rows and empty tables as in
+    near_duplicates().
     """
     own = cut(sketches(docs, width))
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "n", "wide", "keys")).alias("of"))
-    close = cut(links_within(distinct.select("fp"), radius, segments))
-    roots = connected_components(close)
-    stand = distinct.join(roots, distinct.fp == roots.node, "left").where(F.coalesce("root", "fp") == F.col("fp")).select("fp", "of.n", "of.wide", "of.keys")
-    likely = cut(similar_links(stand, threshold, slack, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    links = close.unionByName(confirmed(likely, docs, own, width, threshold))
-    return named(own, links)
+    sets = cut(own.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("n", "wide", "keys")).alias("of")))
+    least = sets.select("sid", "least")
+    links = cut(confirmed(cut(close_links(own, radius, segments)), docs, least, width, threshold))
+    roots = connected_components(links)
+    stand = sets.join(roots, sets.sid == roots.node, "left").where(F.coalesce("root", "sid") == F.col("sid")).select("sid", "of.n", "of.wide", "of.keys")
+    likely = cut(ordered(similar_links(stand, threshold, slack, most)))
+    links = links.unionByName(confirmed(likely, docs, least, width, threshold))
+    return named(own.select("doc_id", "fp", "sid"), links, "sid")
