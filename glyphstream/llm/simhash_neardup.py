@@ -235,44 +235,53 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, fp bigint, sid bigint, n bigint, wide binary, keys array<bigint>")
 
 
-def likely_links(n: np.ndarray, wide: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """A maximum spanning forest of the pairs whose similarity is estimated at `least` or more (Prim's order)."""
+def likely_links(root: np.ndarray, n: np.ndarray, wide: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The links between different roots of a maximum spanning forest of the pairs estimated at `least` or more (Prim's order).
+
+    Rows of one root count as linked.
+    """
     waits, best, via, links = np.ones(len(n), bool), np.full(len(n), -1.0), np.zeros(len(n), np.int64), []
     for _ in range(len(n)):
         u = int(np.argmax(np.where(waits, best, -2.0)))
-        if best[u] >= least:
+        if best[u] >= least and root[via[u]] != root[u]:
             links.append((int(via[u]), u))
         waits[u] = False
-        apart = np.bitwise_count(wide ^ wide[u]).sum(1, dtype=np.int64)
-        shared = np.cos(np.pi / WIDE * apart) * np.sqrt(n * n[u])
-        alike = shared / (n + n[u] - shared)
+        alike = np.where(root == root[u], 2.0, estimates(n, wide, u))
         via[alike > best] = u
         best = np.maximum(best, alike)
     return links
 
 
+def estimates(n: np.ndarray, wide: np.ndarray, u: int) -> np.ndarray:
+    """The estimated similarity of row u to each row."""
+    apart = np.bitwise_count(wide ^ wide[u]).sum(1, dtype=np.int64)
+    shared = np.cos(np.pi / WIDE * apart) * np.sqrt(n * n[u])
+    return shared / (n + n[u] - shared)
+
+
 def similar_links(rows: DataFrame, threshold: float, slack: float, most: int) -> DataFrame:
-    """Links (a, b) between the sid of rows (sid, n, wide, keys), likely at `threshold` less `slack` or more.
+    """Links (a, b) between the sid of rows (sid, root, n, wide, keys) of different roots, likely at `threshold` less `slack` or more.
 
-    A bucket of more than `most` rows is cut into blocks, and each pair of blocks is a bucket of its own.
+    A bucket of one root needs no link.  One of more than `most` rows is cut into blocks, and each pair of
+    blocks is a bucket of its own.
     """
-    keyed = rows.select("sid", "n", "wide", F.posexplode("keys").alias("band", "key"))
-    large = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where(F.col("size") > most)
-    large = large.select("band", "key", F.ceil(2 * F.col("size") / most).cast("int").alias("blocks"))
+    keyed = rows.select("sid", "root", F.posexplode("keys").alias("band", "key"))
+    mixed = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = mixed.select("band", "key", F.when(F.col("size") > most, F.ceil(2 * F.col("size") / most).cast("int")).alias("blocks"))
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != mine)
     pairs = F.transform(others, lambda k: F.struct(F.least(k, mine).alias("x"), F.greatest(k, mine).alias("y")))
     alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-    dealt = keyed.join(large, ["band", "key"], "left").select("band", "key", "sid", "n", "wide", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("at"))
-    dealt = dealt.select("band", "key", "at.x", "at.y", "sid", "n", "wide")
+    dealt = keyed.join(mixed, ["band", "key"]).select("band", "key", "sid", "root", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("at"))
+    dealt = dealt.join(rows.select("sid", "n", "wide"), "sid").select("band", "key", "at.x", "at.y", "sid", "root", "n", "wide")
 
     def buckets(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sid, n = (t.column(c).to_numpy() for c in ("sid", "n"))
+        sid, root, n = (t.column(c).to_numpy() for c in ("sid", "root", "n"))
         wide, links = t.column("wide"), []
         for a, b in zip(edges, edges[1:]):
             if b - a > 1:
                 bits = np.frombuffer(b"".join(wide[int(a) : int(b)].to_pylist()), np.uint64).reshape(b - a, -1)
-                links += [(int(sid[a + x]), int(sid[a + y])) for x, y in likely_links(n[a:b], bits, threshold - slack)]
+                links += [(int(sid[a + x]), int(sid[a + y])) for x, y in likely_links(root[a:b], n[a:b], bits, threshold - slack)]
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
@@ -290,7 +299,7 @@ def similar_links(rows: DataFrame, threshold: float, slack: float, most: int) ->
         if kept is not None and kept.num_rows:
             yield from buckets(kept, np.array([0, kept.num_rows]))
 
-    return dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "sid").mapInArrow(run, "a bigint, b bigint")
 
 
 def confirmed(links: DataFrame, docs: DataFrame, least: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -335,8 +344,7 @@ def similar_documents(docs: DataFrame, *, width: int = 5, threshold: float = 0.8
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for each row of docs.
 
     Linked are texts whose sets of shingles have a similarity of `threshold` or more; every link is confirmed with the
-    whole sets.  Candidates are texts within `radius` of 64 bits, and those standing for what the first links join.
-    Two texts at a similarity of 0.8 meet in no band with a probability of 0.002, and `slack` is 2.3
+    whole sets.  Candidates are texts within `radius` of 64 bits; then all different sets that meet in a band.  Two texts at a similarity of 0.8 meet in no band with a probability of 0.002, and `slack` is 2.3
     standard deviations of the estimate there.  Nulls, empty texts, repeated rows and empty tables as in
     near_duplicates().
     """
@@ -345,7 +353,7 @@ def similar_documents(docs: DataFrame, *, width: int = 5, threshold: float = 0.8
     least = sets.select("sid", "least")
     links = cut(confirmed(cut(close_links(own, radius, segments)), docs, least, width, threshold))
     roots = connected_components(links)
-    stand = sets.join(roots, sets.sid == roots.node, "left").where(F.coalesce("root", "sid") == F.col("sid")).select("sid", "of.n", "of.wide", "of.keys")
-    likely = cut(ordered(similar_links(stand, threshold, slack, most)))
+    rows = sets.join(roots, sets.sid == roots.node, "left").select("sid", F.coalesce("root", "sid").alias("root"), "of.n", "of.wide", "of.keys")
+    likely = cut(ordered(similar_links(rows, threshold, slack, most)))
     links = links.unionByName(confirmed(likely, docs, least, width, threshold))
     return named(own.select("doc_id", "fp", "sid"), links, "sid")

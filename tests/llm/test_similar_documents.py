@@ -22,3 +22,25 @@ def test_repeated_line_links_nothing(spark):
     assert max((fps[0] ^ f).bit_count() for f in fps[1:6]) <= 4
     of = components_of(spark, rows)
     assert all(of[i] == i for i in range(6)) and of[11] == of[10] == 10 and of[13] == of[12] == 12
+
+
+def changed(words, rng, *runs):
+    """A copy of words with new ones for runs of those lengths, far from each other."""
+    own, step = list(words), len(words) // (len(runs) + 1)
+    for k, size in enumerate(runs):
+        at = k * step + rng.randrange(4, step - size - 4)
+        own[at : at + size] = [f"x{rng.randrange(10**9)}" for _ in range(size)]
+    return own
+
+
+def test_links_of_each_member_of_close_copies(spark):
+    """B has a close copy A (4 bits or less) and a text C at 0.82, which is at 0.76 to A."""
+    rng, rows, triples = random.Random(22), [], []
+    while len(triples) < 12:
+        b = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        a, c = b[:190] + [f"x{rng.randrange(10**9)}" for _ in range(3)] + b[193:], changed(b, rng, 1, 1, 1, 1)
+        if (simhash_neardup.shingle_fingerprint(" ".join(a), 5) ^ simhash_neardup.shingle_fingerprint(" ".join(b), 5)).bit_count() <= 4:
+            triples.append(range(len(rows), len(rows) + 3))
+            rows += [(i, " ".join(x)) for i, x in zip(triples[-1], (a, b, c))]
+    of = components_of(spark, rows)
+    assert all({of[i] for i in t} == {t[0]} for t in triples)
