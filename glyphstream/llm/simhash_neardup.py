@@ -252,6 +252,27 @@ def likely_links(root: np.ndarray, n: np.ndarray, wide: np.ndarray, least: float
     return links
 
 
+def further_links(root: np.ndarray, n: np.ndarray, wide: np.ndarray, least: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of each row's pairs estimated at `least` or more, the closest first, those from `low` on below `high` that join different roots.
+
+    Last, whether there are such pairs from `high` on.
+    """
+    a, b, more = [], [], False
+    for u in range(len(n)):
+        alike = estimates(n, wide, u)
+        alike[u] = -1
+        near = np.flatnonzero(alike >= least)
+        if len(near) > low:
+            near = near[np.argsort(-alike[near], kind="stable")]
+            apart = root[near] != root[u]
+            own = near[low:high][apart[low:high]]
+            more = more or bool(apart[high:].any())
+            a.append(np.full(len(own), u))
+            b.append(own)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none), more
+
+
 def estimates(n: np.ndarray, wide: np.ndarray, u: int) -> np.ndarray:
     """The estimated similarity of row u to each row."""
     apart = np.bitwise_count(wide ^ wide[u]).sum(1, dtype=np.int64)
@@ -259,14 +280,18 @@ def estimates(n: np.ndarray, wide: np.ndarray, u: int) -> np.ndarray:
     return shared / (n + n[u] - shared)
 
 
-def similar_links(rows: DataFrame, threshold: float, slack: float, most: int) -> DataFrame:
-    """Links (a, b) between the sid of rows (sid, root, n, wide, keys) of different roots, likely at `threshold` less `slack` or more.
+def similar_links(rows: DataFrame, threshold: float, slack: float, most: int, only: DataFrame | None = None, low: int = 0, high: int = 0) -> DataFrame:
+    """Links (band, key, a, b) between the sid of rows (sid, root, n, wide, keys) of different roots, likely at `threshold` less `slack` or more.
 
-    A bucket of one root needs no link.  One of more than `most` rows is cut into blocks, and each pair of
+    A forest of each bucket; with `only`, further_links() of those buckets (band, key), and a row without
+    a and b for each that has more.  A bucket of one root needs no link.  One of more than `most` rows is cut into blocks, and each pair of
     blocks is a bucket of its own.
     """
     keyed = rows.select("sid", "root", F.posexplode("keys").alias("band", "key"))
     mixed = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    forest = only is None
+    if not forest:
+        mixed = mixed.join(only, ["band", "key"], "left_semi")
     mixed = mixed.select("band", "key", F.when(F.col("size") > most, F.ceil(2 * F.col("size") / most).cast("int")).alias("blocks"))
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != mine)
@@ -275,15 +300,22 @@ def similar_links(rows: DataFrame, threshold: float, slack: float, most: int) ->
     dealt = keyed.join(mixed, ["band", "key"]).select("band", "key", "sid", "root", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("at"))
     dealt = dealt.join(rows.select("sid", "n", "wide"), "sid").select("band", "key", "at.x", "at.y", "sid", "root", "n", "wide")
 
+    def found(root: np.ndarray, n: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        if not forest:
+            return further_links(root, n, wide, threshold - slack, low, high)
+        links = np.array(likely_links(root, n, wide, threshold - slack), np.int64).reshape(-1, 2)
+        return links[:, 0], links[:, 1], False
+
     def buckets(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sid, root, n = (t.column(c).to_numpy() for c in ("sid", "root", "n"))
-        wide, links = t.column("wide"), []
+        band, key, sid, root, n = (t.column(c).to_numpy() for c in ("band", "key", "sid", "root", "n"))
+        wide = t.column("wide")
         for a, b in zip(edges, edges[1:]):
             if b - a > 1:
                 bits = np.frombuffer(b"".join(wide[int(a) : int(b)].to_pylist()), np.uint64).reshape(b - a, -1)
-                links += [(int(sid[a + x]), int(sid[a + y])) for x, y in likely_links(root[a:b], n[a:b], bits, threshold - slack)]
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+                x, y, more = found(root[a:b], n[a:b], bits)
+                ends = [pa.array([*sid[a + z].tolist(), *[None] * more], pa.int64()) for z in (x, y)]
+                if size := len(ends[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, band[a]), pa.int32()), pa.array(np.full(size, key[a]), pa.int64()), *ends], ["band", "key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets follow one another; only the last of a batch waits for the next batch."""
@@ -299,7 +331,7 @@ def similar_links(rows: DataFrame, threshold: float, slack: float, most: int) ->
         if kept is not None and kept.num_rows:
             yield from buckets(kept, np.array([0, kept.num_rows]))
 
-    return dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "sid").mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "sid").mapInArrow(run, "band int, key bigint, a bigint, b bigint")
 
 
 def confirmed(links: DataFrame, docs: DataFrame, least: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -344,7 +376,9 @@ def similar_documents(docs: DataFrame, *, width: int = 5, threshold: float = 0.8
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for each row of docs.
 
     Linked are texts whose sets of shingles have a similarity of `threshold` or more; every link is confirmed with the
-    whole sets.  Candidates are texts within `radius` of 64 bits; then all different sets that meet in a band.  Two texts at a similarity of 0.8 meet in no band with a probability of 0.002, and `slack` is 2.3
+    whole sets.  Candidates are texts within `radius` of 64 bits; then all different sets that meet in a band.
+    Where a bucket's forest has a link that isn't confirmed, its other candidates between different components are
+    tried too, the closest of each text first.  Two texts at a similarity of 0.8 meet in no band with a probability of 0.002, and `slack` is 2.3
     standard deviations of the estimate there.  Nulls, empty texts, repeated rows and empty tables as in
     near_duplicates().
     """
@@ -352,8 +386,16 @@ def similar_documents(docs: DataFrame, *, width: int = 5, threshold: float = 0.8
     sets = cut(own.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("n", "wide", "keys")).alias("of")))
     least = sets.select("sid", "least")
     links = cut(confirmed(cut(close_links(own, radius, segments)), docs, least, width, threshold))
-    roots = connected_components(links)
-    rows = sets.join(roots, sets.sid == roots.node, "left").select("sid", F.coalesce("root", "sid").alias("root"), "of.n", "of.wide", "of.keys")
-    likely = cut(ordered(similar_links(rows, threshold, slack, most)))
-    links = links.unionByName(confirmed(likely, docs, least, width, threshold))
+    only, low, high = None, 0, 0
+    while True:
+        roots = connected_components(links)
+        rows = sets.join(roots, sets.sid == roots.node, "left").select("sid", F.coalesce("root", "sid").alias("root"), "of.n", "of.wide", "of.keys")
+        found = cut(similar_links(rows, threshold, slack, most, only, low, high).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}))
+        new = cut(confirmed(cut(ordered(found)), docs, least, width, threshold))
+        links = links.unionByName(new)
+        open_links = found.join(new, ["a", "b"], "left_anti") if only is None else found.where("a is null")
+        only = cut(open_links.select("band", "key").distinct())
+        if only.isEmpty():
+            break
+        low, high = high, max(8, 8 * high)
     return named(own.select("doc_id", "fp", "sid"), links, "sid")

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from glyphstream.llm import simhash_neardup
 
 
@@ -44,3 +46,16 @@ def test_links_of_each_member_of_close_copies(spark):
             rows += [(i, " ".join(x)) for i, x in zip(triples[-1], (a, b, c))]
     of = components_of(spark, rows)
     assert all({of[i] for i in t} == {t[0]} for t in triples)
+
+
+@pytest.mark.parametrize("most", [4096, 16])
+def test_links_beside_rejected_ones(spark, most):
+    """Groups whose pairs lie around 0.8: many links of a bucket's forest are not confirmed."""
+    rng, rows = random.Random(23), []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        rows += [(len(rows) + k, " ".join(changed(base, rng, *[1] * rng.choice((2, 2, 3, 3, 3))))) for k in range(30)]
+    of = components_of(spark, rows, most=most)
+    sets = [set(simhash_neardup.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(links) > 500 and all(of[i] == of[j] for i, j in links)
