@@ -11,10 +11,10 @@ as needed: a bucket whose members agree on all but b bits has 2**b members at mo
 gives a spanning forest of its links, not all pairs; components follow from Spark joins.
 
 Texts whose shingle sets have a similarity (shared / all) of 0.8 differ in about 10 of 64 bits, and no
-segments are selective at that radius.  similar_documents() therefore lets one text stand for each
-group found as above and looks for further links between those: rows whose smallest mixed shingle
-hashes agree in a band of three meet, fingerprints of 1024 bits estimate their similarity, and the links
-of each bucket's maximum spanning forest are confirmed with the whole shingle sets.
+segments are selective at that radius.  similar_documents() therefore confirms the links found as above with the whole
+shingle sets and looks for further ones between all different sets: those whose smallest mixed shingle
+hashes agree in a band of three meet, sketches of 1024 bits estimate their similarity, and the links
+of each bucket's maximum spanning forest are confirmed too.  Where one is not, the other pairs follow.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from glyphstream.llm.hashing import mix, signed_votes
 BITS, SEED = 64, 42
 WIDE, BANDS, BAND_ROWS = 1024, 9, 3
 _UNIT = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-#: Offsets that make independent hashes of one: the lanes of the wide fingerprint, then those of the bands.
-_LANES = np.arange(1, WIDE // 64 + BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: Offsets that make independent hashes of one: that of the wide fingerprint, then those of the bands.
+_LANES = np.arange(1, BANDS * BAND_ROWS + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str, width: int = 3) -> np.ndarray:
@@ -68,16 +68,27 @@ def set_id(distinct: np.ndarray) -> int:
 
 
 def wide_sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
-    """1024 majority bits of the distinct hashes h, and a key for each band of their smallest mixed values."""
-    votes, lanes = np.zeros(WIDE, np.int64), WIDE // 64
-    least = np.full(len(_LANES) - lanes, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(h), 255):  # so many ones fit a byte
-        m = mix(h[a : a + 255, None] + _LANES)
-        votes += np.unpackbits(np.ascontiguousarray(m[:, :lanes]).view(np.uint8), axis=1).sum(0, dtype=np.uint8)
-        np.minimum(least, m[:, lanes:].min(0), out=least)
+    """4 bits for each of 256 parts of the distinct hashes h, mixed, and a key for each band of their smallest mixed values.
+
+    A part's bits tell its smallest value, 1 to 15; 0 stands for an empty part.
+    """
+    m = np.sort(mix(h + _LANES[0]))
+    part = (m >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    own = np.zeros(WIDE // 4, np.uint8)
+    own[part[first]] = m[first] % np.uint64(15) + np.uint64(1)
+    least = np.full(len(_LANES) - 1, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(h), 1024):
+        np.minimum(least, mix(h[a : a + 1024, None] + _LANES[1:]).min(0), out=least)
     bands = least.reshape(BANDS, BAND_ROWS)
     key = mix(mix(mix(bands[:, 0]) + bands[:, 1]) + bands[:, 2])
-    return np.packbits(2 * votes > len(h)).tobytes(), key.view(np.int64).tolist()
+    return (own[::2] | own[1::2] << 4).tobytes(), key.view(np.int64).tolist()
+
+
+def filled(x: np.ndarray) -> np.ndarray:
+    """For each row of x, how many groups of 4 bits aren't zero."""
+    x = x | x >> np.uint64(2)
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -218,7 +229,7 @@ def named(own: DataFrame, links: DataFrame, node: str = "fp") -> DataFrame:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp, sid, n, wide, keys) of docs (doc_id, text): sid names the set of n distinct shingles; no keys without words."""
+    """(doc_id, fp, sid, wide, keys) of docs (doc_id, text): sid names the set of distinct shingles; no keys without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -226,40 +237,40 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t or "", width)
                 own = np.unique(h)
-                rows.append((signed(majority(h)), set_id(own), len(own), *(wide_sketch(own) if len(own) else (b"", []))))
-            fp, sid, n, wide, keys = zip(*rows)
-            columns = [batch.column(0), pa.array(fp, pa.int64()), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sid", "n", "wide", "keys"])
+                rows.append((signed(majority(h)), set_id(own), *(wide_sketch(own) if len(own) else (b"", []))))
+            fp, sid, wide, keys = zip(*rows)
+            columns = [batch.column(0), pa.array(fp, pa.int64()), pa.array(sid, pa.int64()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "sid", "wide", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint, sid bigint, n bigint, wide binary, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint, sid bigint, wide binary, keys array<bigint>")
 
 
-def likely_links(root: np.ndarray, n: np.ndarray, wide: np.ndarray, least: float) -> list[tuple[int, int]]:
+def likely_links(root: np.ndarray, wide: np.ndarray, least: float) -> list[tuple[int, int]]:
     """The links between different roots of a maximum spanning forest of the pairs estimated at `least` or more (Prim's order).
 
     Rows of one root count as linked.
     """
-    waits, best, via, links = np.ones(len(n), bool), np.full(len(n), -1.0), np.zeros(len(n), np.int64), []
-    for _ in range(len(n)):
+    waits, best, via, links = np.ones(len(root), bool), np.full(len(root), -1.0), np.zeros(len(root), np.int64), []
+    for _ in range(len(root)):
         u = int(np.argmax(np.where(waits, best, -2.0)))
         if best[u] >= least and root[via[u]] != root[u]:
             links.append((int(via[u]), u))
         waits[u] = False
-        alike = np.where(root == root[u], 2.0, estimates(n, wide, u))
+        alike = np.where(root == root[u], 2.0, estimates(wide, u))
         via[alike > best] = u
         best = np.maximum(best, alike)
     return links
 
 
-def further_links(root: np.ndarray, n: np.ndarray, wide: np.ndarray, least: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def further_links(root: np.ndarray, wide: np.ndarray, least: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Of each row's pairs estimated at `least` or more, the closest first, those from `low` on below `high` that join different roots.
 
     Last, whether there are such pairs from `high` on.
     """
     a, b, more = [], [], False
-    for u in range(len(n)):
-        alike = estimates(n, wide, u)
+    for u in range(len(root)):
+        alike = estimates(wide, u)
         alike[u] = -1
         near = np.flatnonzero(alike >= least)
         if len(near) > low:
@@ -273,15 +284,13 @@ def further_links(root: np.ndarray, n: np.ndarray, wide: np.ndarray, least: floa
     return np.concatenate(a or none), np.concatenate(b or none), more
 
 
-def estimates(n: np.ndarray, wide: np.ndarray, u: int) -> np.ndarray:
-    """The estimated similarity of row u to each row."""
-    apart = np.bitwise_count(wide ^ wide[u]).sum(1, dtype=np.int64)
-    shared = np.cos(np.pi / WIDE * apart) * np.sqrt(n * n[u])
-    return shared / (n + n[u] - shared)
+def estimates(wide: np.ndarray, u: int) -> np.ndarray:
+    """The estimated similarity of row u to each row: the share of equal parts among those not empty in both."""
+    return 1 - filled(wide ^ wide[u]) / filled(wide | wide[u])
 
 
 def similar_links(rows: DataFrame, threshold: float, slack: float, most: int, only: DataFrame | None = None, low: int = 0, high: int = 0) -> DataFrame:
-    """Links (band, key, a, b) between the sid of rows (sid, root, n, wide, keys) of different roots, likely at `threshold` less `slack` or more.
+    """Links (band, key, a, b) between the sid of rows (sid, root, wide, keys) of different roots, likely at `threshold` less `slack` or more.
 
     A forest of each bucket; with `only`, further_links() of those buckets (band, key), and a row without
     a and b for each that has more.  A bucket of one root needs no link.  One of more than `most` rows is cut into blocks, and each pair of
@@ -298,21 +307,21 @@ def similar_links(rows: DataFrame, threshold: float, slack: float, most: int, on
     pairs = F.transform(others, lambda k: F.struct(F.least(k, mine).alias("x"), F.greatest(k, mine).alias("y")))
     alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
     dealt = keyed.join(mixed, ["band", "key"]).select("band", "key", "sid", "root", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("at"))
-    dealt = dealt.join(rows.select("sid", "n", "wide"), "sid").select("band", "key", "at.x", "at.y", "sid", "root", "n", "wide")
+    dealt = dealt.join(rows.select("sid", "wide"), "sid").select("band", "key", "at.x", "at.y", "sid", "root", "wide")
 
-    def found(root: np.ndarray, n: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    def found(root: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
         if not forest:
-            return further_links(root, n, wide, threshold - slack, low, high)
-        links = np.array(likely_links(root, n, wide, threshold - slack), np.int64).reshape(-1, 2)
+            return further_links(root, wide, threshold - slack, low, high)
+        links = np.array(likely_links(root, wide, threshold - slack), np.int64).reshape(-1, 2)
         return links[:, 0], links[:, 1], False
 
     def buckets(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        band, key, sid, root, n = (t.column(c).to_numpy() for c in ("band", "key", "sid", "root", "n"))
+        band, key, sid, root = (t.column(c).to_numpy() for c in ("band", "key", "sid", "root"))
         wide = t.column("wide")
         for a, b in zip(edges, edges[1:]):
             if b - a > 1:
                 bits = np.frombuffer(b"".join(wide[int(a) : int(b)].to_pylist()), np.uint64).reshape(b - a, -1)
-                x, y, more = found(root[a:b], n[a:b], bits)
+                x, y, more = found(root[a:b], bits)
                 ends = [pa.array([*sid[a + z].tolist(), *[None] * more], pa.int64()) for z in (x, y)]
                 if size := len(ends[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(size, band[a]), pa.int32()), pa.array(np.full(size, key[a]), pa.int64()), *ends], ["band", "key", "a", "b"])
@@ -372,24 +381,25 @@ def ordered(links: DataFrame) -> DataFrame:
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def similar_documents(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, slack: float = 0.06, radius: int = 4, segments: int = 9, most: int = 4096) -> DataFrame:
+def similar_documents(docs: DataFrame, *, width: int = 5, threshold: float = 0.8, slack: float = 0.1, radius: int = 4, segments: int = 9, most: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for each row of docs.
 
     Linked are texts whose sets of shingles have a similarity of `threshold` or more; every link is confirmed with the
     whole sets.  Candidates are texts within `radius` of 64 bits; then all different sets that meet in a band.
     Where a bucket's forest has a link that isn't confirmed, its other candidates between different components are
-    tried too, the closest of each text first.  Two texts at a similarity of 0.8 meet in no band with a probability of 0.002, and `slack` is 2.3
-    standard deviations of the estimate there.  Nulls, empty texts, repeated rows and empty tables as in
-    near_duplicates().
+    tried too, the closest of each text first.  Two
+    texts at a similarity of 0.8 meet in no band with a probability of 0.002, and `slack` is 4 standard
+    deviations of the estimate there or more, from 5 shingles to 4500.  Nulls, empty texts, repeated rows and empty
+    tables as in near_duplicates().
     """
     own = cut(sketches(docs, width))
-    sets = cut(own.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("n", "wide", "keys")).alias("of")))
+    sets = cut(own.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("wide", "keys")).alias("of")))
     least = sets.select("sid", "least")
     links = cut(confirmed(cut(close_links(own, radius, segments)), docs, least, width, threshold))
     only, low, high = None, 0, 0
     while True:
         roots = connected_components(links)
-        rows = sets.join(roots, sets.sid == roots.node, "left").select("sid", F.coalesce("root", "sid").alias("root"), "of.n", "of.wide", "of.keys")
+        rows = sets.join(roots, sets.sid == roots.node, "left").select("sid", F.coalesce("root", "sid").alias("root"), "of.wide", "of.keys")
         found = cut(similar_links(rows, threshold, slack, most, only, low, high).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}))
         new = cut(confirmed(cut(ordered(found)), docs, least, width, threshold))
         links = links.unionByName(new)

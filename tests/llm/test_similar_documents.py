@@ -59,3 +59,14 @@ def test_links_beside_rejected_ones(spark, most):
     sets = [set(simhash_neardup.shingle_hashes(t, 5).tolist()) for _, t in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(links) > 500 and all(of[i] == of[j] for i, j in links)
+
+
+@pytest.mark.parametrize("words, more", [(8, 1), (19, 3), (29, 5), (36, 7)])
+def test_links_of_short_texts(spark, words, more):
+    """A text and the same with more words, at a similarity of 0.8."""
+    rng, rows = random.Random(24), []
+    for i in range(60):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(words + more)]
+        rows += [(2 * i, " ".join(own[:words])), (2 * i + 1, " ".join(own))]
+    of = components_of(spark, rows)
+    assert all(of[2 * i + 1] == 2 * i for i in range(60))
