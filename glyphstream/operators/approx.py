@@ -7,6 +7,7 @@ that overlap by pattern length plus k, so a task's work is bounded by the chunk.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +69,14 @@ def approx_find(df: DataFrame, key: str, data: str, patterns: list[str], k: int,
     return cut.mapInPandas(run, f"key {kind}, pattern string, pos bigint, dist int").withColumnRenamed("key", key)
 
 
-def candidate_windows(found: DataFrame, key: str, total_length: int, error_rate: float, least: int) -> DataFrame:
-    """(key, n): hits with at least `least` hits, themselves included, within the window that allows the error rate."""
-    reach = int(total_length * (1 + error_rate))
+def candidate_windows(found: DataFrame, key: str, segments: int, total_length: int, error_rate: float, k: int) -> DataFrame:
+    """(key, n1, n2): distinct hits (pos, dist), and those whose window's sum of dist is above segments * (k + 1) - total_length * error_rate.
+
+    A window starts at its hit and is shorter than total_length * (1 + error_rate); each hit counts once in it, hits
+    at the start's own place included.  (editd.cpp counts the first hit twice and leaves the last windows out.)
+    """
+    reach = math.ceil(np.float32(total_length) * (np.float32(error_rate) + np.float32(1))) - 1
+    bound = int(segments * (k + 1) - np.float32(total_length) * np.float32(error_rate))
     w = Window.partitionBy(key).orderBy("pos").rangeBetween(0, reach)
-    return found.select(key, "pos").distinct().withColumn("c", F.count("*").over(w)).groupBy(key).agg(F.count_if(F.col("c") >= least).alias("n"))
+    hits = found.select(key, "pos", "dist").distinct().withColumn("total", F.sum("dist").over(w))
+    return hits.groupBy(key).agg(F.count("*").alias("n1"), F.count_if(F.col("total") > bound).alias("n2"))

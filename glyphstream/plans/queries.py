@@ -328,7 +328,7 @@ def approx_parts(spark, d):
 
 @query()
 def approx_windows(spark, d):
-    return approx.candidate_windows(approx_parts(spark, d), "p_partkey", 8, 0.25, 2)
+    return approx.candidate_windows(approx_parts(spark, d), "p_partkey", 3, 8, 0.25, 2)
 
 
 # section 2.8, T1-T3: joins and set operations over lines
