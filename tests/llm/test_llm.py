@@ -264,12 +264,6 @@ def test_media_damage(spark, tmp_path):
     assert got[1]["error"] and got[1]["n_bytes"] is None and got[2]["n_bytes"] == 3 and got[2]["error"] is None
 
 
-def test_licenses(spark):
-    rows = [(1, "code\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work was licensed under the GNU General Public License, version 3."), (4, "the licensed plumber came"), (5, None), (6, "")]
-    got = {(r["doc_id"], r["license"], r["differing_words"], r["exact"]) for r in licenses.scan_documents(frame(spark, rows)).collect()}
-    assert got == {(1, "MIT", 0, True), (2, "Apache-2.0", 0, True), (3, "GPL-3.0", 1, False)}
-
-
 def test_toxicity(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
