@@ -22,11 +22,18 @@ def crc_mod(col: str, m: int) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one is set only where there is none."""
+    """The shared folder that the session names.
+
+    A temporary one is set only where there is none and all tasks run in this machine's process; on a
+    cluster its executors could not see it, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="glyph-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -42,15 +49,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bounded_share(spark_count: int, bound: int) -> float:
-    return 1.0 if spark_count <= bound else bound / spark_count
+def hash_bound(most: int, n: int) -> int:
+    """The bound below which about `most` of n hashes of 63 bits lie, at any n; 2**63 - 1, that is all, where n isn't larger."""
+    return (1 << 63) - 1 if n <= most else max(1, (most << 63) // n)
+
+
+def hash_rank(*cols: str, salt: str = "sample") -> Column:
+    """A hash of cols with 63 bits: the same at every run."""
+    return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(salt)), 1)
+
+
+def hash_sample(ids: DataFrame, most: int, n: int) -> DataFrame:
+    """The `most` different rows of ids with the least hashes, n being about how many there are: none only if ids is empty."""
+    # twice as many and 64 are looked at, so that fewer than `most` are not to be expected
+    near = ids.withColumn("_rank", hash_rank(*ids.columns)).where(F.col("_rank") <= hash_bound(2 * most + 64, n)).distinct()
+    return near.orderBy("_rank", *ids.columns).limit(most).drop("_rank")
 
 
-def hash_sample(df: DataFrame, share: float, *cols: str) -> DataFrame:
-    """About that share of the rows, chosen by a hash of cols: the same rows at every run."""
-    if share >= 1:
-        return df
-    return df.where(F.pmod(F.xxhash64(*cols, F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+def kept_names(keep: list[str], own: list[str]) -> list[str]:
+    """Names for kept columns beside results named `own`: one that clashes gets `_of_docs` behind it, as often as needed."""
+    out: list[str] = []
+    for c in keep:
+        while c in own or c in out:
+            c += "_of_docs"
+        out.append(c)
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

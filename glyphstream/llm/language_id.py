@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphstream.llm.common import crc_mod, slices
+from glyphstream.llm.common import crc_mod, hash_bound, hash_rank, kept_names, slices
 
 BUCKETS = 1 << 14
 
@@ -120,32 +120,39 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return min(np.geomspace(0.05, 5, 60), key=loss) if len(y) else 1.0
 
 
-def train(docs: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2, max_rows: int = 4000, max_languages: int = 200) -> LanguageModel:
+def train(docs: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2, max_rows: int = 4000, max_languages: int = 1000) -> LanguageModel:
     """The model from text and non-null lang of docs whose crc32(doc_id as text) modulo held_out_mod isn't held_out_rest.
 
-    max_rows bounds the sample over all languages; the max_languages most frequent are learned.
+    max_rows bounds the sample over all languages: of each language the rows with the least hashes, at
+    most an equal share and at least one.  More than max_languages languages are an error, since
+    the weights of all must fit in a task.  Null texts and langs teach nothing; an empty table gives a model that knows no language.
     """
     free = docs.where((crc_mod("doc_id", held_out_mod) != held_out_rest) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in free.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in free.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.ones(BUCKETS), np.zeros((BUCKETS, 1)), np.zeros(1))
     df = document_frequencies(free)
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
     model = LanguageModel(languages, idf, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)))
-    most = max_rows / len(languages)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int((1 << 20) * min(1.0, most / n)))) for k, n in counts.items()], F.lit(0))
-    chosen = free.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < share).select("doc_id", "lang", "text")
+    most = max(1, max_rows // len(languages))
+    # twice the share and 64 rows are looked at, so that fewer than the share are not to be expected
+    bounds = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, hash_bound(2 * most + 64, n))])
+    near = free.withColumn("rank", hash_rank("doc_id", "text", salt="language")).where(F.col("rank") <= bounds[F.col("lang")])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id", "text"))
+    chosen = near.withColumn("first", first).where(F.col("first") <= most).select("rank", "lang", "text")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             found = [ngram_counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in found], pa.binary())], ["doc_id", "lang", "at", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())], ["rank", "lang", "at", "n"])
 
-    sample = chosen.mapInArrow(rows_of, "doc_id bigint, lang string, at binary, n binary").collect()  # max_rows bounds it
+    sample = chosen.mapInArrow(rows_of, "rank bigint, lang string, at binary, n binary").collect()  # max_rows bounds it
     rows = []
-    for r in sorted(sample, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)):
-        at, n = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u2").astype(np.float64)
+    for r in sorted(sample, key=lambda r: (r["rank"], r["lang"], r["at"], r["n"])):
+        at, n = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(np.float64)
         v = (1 + np.log(n)) * idf[at]
         rows.append((at, v / (np.sqrt((v * v).sum()) + 1e-12), languages.index(r["lang"])))
     apart = rows[::5] if len(rows) >= 50 else []
@@ -156,17 +163,22 @@ def train(docs: DataFrame, *, held_out_mod: int = 4, held_out_rest: int = 2, max
     return model
 
 
-def predict_documents(docs: DataFrame, model: LanguageModel, extra: str = "") -> DataFrame:
-    """doc_id, lang_pred, score (and the columns of docs named in extra); whole texts, one scan."""
-    kept = [c for c in extra.split(",") if c]
+def predict_documents(docs: DataFrame, model: LanguageModel, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score and, between them, the columns of docs named in keep; whole texts, one scan.
+
+    A text that is null or has no letter gets `und` and 0, as does every text if no language was learned; of languages
+    of equal score the first in alphabetical order holds.  A null doc_id stays null, equal rows get equal results, an
+    empty table gives no row.  A kept column named like a result gets `_of_docs` behind its name.
+    """
+    own = kept_names(list(keep), ["doc_id", "lang_pred", "score"])
+    rows = docs.select(F.col("doc_id").alias("_0"), F.col("text").cast("string").alias("_1"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep, 2)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            found = [model.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in ["doc_id", *kept]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["doc_id", *kept, "lang_pred", "score"])
+        for batch in slices(batches, "_1", 4 << 20):
+            found = [model.predict(t) for t in batch.column(1).to_pylist()]
+            cols = [batch.column(k) for k in (0, *range(2, batch.num_columns))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["doc_id", *own, "lang_pred", "score"])
 
-    rows = docs.select("doc_id", *kept, *(["text"] if "text" not in kept else []))
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in ["doc_id", *kept]) + ", lang_pred string, score double"
+    types = [t for _, t in rows.dtypes]
+    schema = ", ".join(f"`{c}` {t}" for c, t in zip(["doc_id", *own], [types[0], *types[2:]])) + ", lang_pred string, score double"
     return rows.mapInArrow(run, schema)
