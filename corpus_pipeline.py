@@ -34,12 +34,12 @@ def unboxed(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the model learns from the labels of sf_dir."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return unboxed(toxicity.score_documents(boxed(docs), model, "text,row").where("predicted = 0"), docs)
+    return unboxed(toxicity.score_documents(boxed(docs), model, ["text", "row"]).where("predicted = 0"), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is told with a confidence of 0.5 at least."""
-    found = language_id.predict_documents(boxed(docs), language_id.train(docs), "text,row")
+    found = language_id.predict_documents(boxed(docs), language_id.train(docs), ["text", "row"])
     return unboxed(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CONFIDENCE)), docs)
 
 
