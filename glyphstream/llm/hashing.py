@@ -1,8 +1,8 @@
 """Vectorised hashes of words and of stretches of bytes.
 
 A stretch's hash is a polynomial over the bytes modulo 2**64, read off one running sum: the
-difference of two sums times an inverse power of the (odd) base.  It only deals rows out; equality
-is always settled by a second hash or by the bytes themselves.
+difference of two sums times an inverse power of the (odd) base.  It only deals rows out: what is
+equal is told by other hashes as well, or by the bytes themselves.
 """
 
 from __future__ import annotations

@@ -1,10 +1,11 @@
-"""Substring removal by suffix order and longest previous factors.
-
-Byte windows that may repeat are found by repeats.windows_that_stay.  Where that leaves windows open, the
-texts around them are put one after another and their suffixes sorted, to the window's length.
-A suffix has a previous factor of that length just if, in its stretch of the suffix order with
-common prefixes as long, the previous or next smaller position exists; that is so for all but the
-smallest position of the stretch.  Mirrored, all but the largest have a later match.
+"""Substring removal by suffix order and longest-previous-factor arrays.
+
+The texts around all byte windows that may repeat (repeats.windows_that_stay) are put one after another,
+minimizer by minimizer, documents in order.  Their suffixes are sorted to the window's length and
+neighbours compared byte by byte (common prefixes).  For each suffix the previous and the next
+smaller position in that order give the earlier matches, and the longer of the two common prefixes is its longest
+previous factor; mirrored, the larger positions give the longest next factor.  A window has an
+earlier (later) copy just if that factor is as long as the window.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphstream.llm.repeats import Units, map_removed, windows_that_stay, with_key
+from glyphstream.llm.repeats import Keyed, Units, in_blocks, map_removed, windows_that_stay, with_key
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -24,7 +25,7 @@ def _ranks(x: np.ndarray) -> np.ndarray:
 
 
 def suffix_classes(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts in suffix order, class of each): equal classes have equal text[start:start + depth].
+    """(indices of starts in suffix order, class of each): equal classes have equal text[start:start + depth].
 
     Prefix doubling up to 32 bytes for all positions, then blocks of 32 for the suffixes that still
     share their class with another; the others get classes of their own, in order.
@@ -43,7 +44,7 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np
         r = _ranks(r << np.uint64(32) | after)
         size *= 2
     place = np.argsort(r[starts], kind="stable")
-    order, cls = starts[place], r[starts][place].astype(np.int64)
+    order, cls = place, r[starts][place].astype(np.int64)
     cls = np.cumsum(np.concatenate([[0], cls[1:] != cls[:-1]]).astype(np.int64)) if len(cls) else cls
     done = size
     while done < depth:
@@ -51,7 +52,7 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np
         many = np.bincount(cls)[cls] > 1
         if not many.any():
             break
-        pair = cls[many].astype(np.uint64) << np.uint64(32) | r[order[many] + shift]
+        pair = cls[many].astype(np.uint64) << np.uint64(32) | r[starts[order[many]] + shift]
         inner = np.argsort(pair, kind="stable")
         order[many] = order[many][inner]
         pair = pair[inner]
@@ -64,70 +65,98 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np
     return order, cls
 
 
-def previous_factors(order: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes in order: if a smaller, and if a larger, position of the same class exists."""
-    if not len(order):
-        return np.zeros(0, bool), np.zeros(0, bool)
-    first = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-    index = np.cumsum(np.concatenate([[True], cls[1:] != cls[:-1]])) - 1
-    return order > np.minimum.reduceat(order, first)[index], order < np.maximum.reduceat(order, first)[index]
+def common_prefixes(text: np.ndarray, starts: np.ndarray, cls: np.ndarray, depth: int) -> np.ndarray:
+    """For each of the sorted suffixes how many bytes, up to depth, it shares with the one before (the first: 0)."""
+    lcp = np.zeros(len(starts), np.int64)
+    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
+    same = np.flatnonzero(cls[1:] == cls[:-1]) + 1
+    lcp[same] = depth
+    at = np.flatnonzero(cls[1:] != cls[:-1]) + 1
+    for done in range(0, depth, 8):
+        if not len(at):
+            break
+        a, b = starts[at] + done, starts[at - 1] + done
+        apart, equal = np.full(len(at), 8), np.ones(len(at), bool)
+        for k in range(8):
+            new = equal & (padded[a + k] != padded[b + k])
+            apart[new] = k
+            equal &= ~new
+        lcp[at] = done + apart
+        at = at[equal]
+    return np.minimum(lcp, depth)
+
+
+def _prefix_with_smaller(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix in order its common prefix with the nearest one before that has a smaller place; 0 without one."""
+    before, own = np.arange(-1, len(place) - 1), lcp.copy()
+    at = np.flatnonzero((before >= 0) & (place[before] > place))
+    while len(at):  # all that lie between a suffix and its candidate have larger places
+        via = before[at]
+        own[at], before[at] = np.minimum(own[at], own[via]), before[via]
+        at = at[(before[at] >= 0) & (place[before[at]] > place[at])]
+    own[before < 0] = 0
+    return own
+
+
+def previous_factors(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix in order, given its place and its common prefix with the one before."""
+    if not len(place):
+        return lcp
+    turned = np.concatenate([[0], lcp[:0:-1]])
+    return np.maximum(_prefix_with_smaller(place, lcp), _prefix_with_smaller(place[::-1], turned)[::-1])
+
+
+def windows_kept(texts: list[bytes], windows: np.ndarray, copies: np.ndarray, depth: int, first_stays: bool) -> np.ndarray:
+    """Which of the texts' windows, one text after another, have no earlier copy (first_stays) or no other copy.
+
+    windows has how many each text has; a text with several copies counts as if it followed once more at the end.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), windows)
+    starts = (np.cumsum(sizes) - sizes)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    text = np.frombuffer(b"".join(texts), np.uint8)
+    order, cls = suffix_classes(text, starts, depth)
+    lcp = common_prefixes(text, starts[order], cls, depth)
+    many = copies[owner[order]] > 1
+    twin = np.cumsum(1 + many)[many] - 1  # the copy's suffix stands beside its own
+    place, lcp, index = (np.repeat(x, 1 + many) for x in (starts[order], lcp, order))
+    place[twin] += len(text)
+    lcp[twin] = depth
+    stays = previous_factors(place, lcp) < depth
+    if not first_stays:
+        stays &= previous_factors(-place, lcp) < depth
+    stays[twin] = False
+    kept = np.zeros(len(starts), bool)
+    kept[index[stays]] = True
+    return kept
 
 
 def settle(texts: DataFrame, depth: int, first_stays: bool, block: int = 2 << 20) -> DataFrame:
-    """(d, lo, hi) of windows that stay, from runs (d, key, copies, lo, hi, hash, text).
+    """(id, tie, at) of windows that stay, from runs (key, copies, id, tie, at, text); a task takes about `block` bytes at a time."""
 
-    A task takes whole minimizers, about `block` bytes at a time.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, last = [], 0, None
-        for batch in batches:
-            key = batch.column(1).to_numpy()
-            for x, y in zip(e := [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)], e[1:]):
-                if y == x:
-                    continue
-                if size >= block and key[x] != last:
-                    yield from done(waiting)
-                    waiting, size = [], 0
-                waiting.append(batch.slice(x, y - x))
-                size += waiting[-1].column(6).nbytes
-                last = key[x]
-        if waiting:
-            yield from done(waiting)
-
-    def done(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        copies, lo, hi = (t.column(k).to_numpy() for k in ("copies", "lo", "hi"))
-        texts = t.column("text").to_pylist()
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        begin = np.cumsum(sizes) - sizes
-        count = hi - lo + 1
-        owner = np.repeat(np.arange(len(texts)), count)
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        order, cls = suffix_classes(np.frombuffer(b"".join(texts), np.uint8), begin[owner] + inside, depth)
-        before, after = previous_factors(order, cls)
-        stays = np.zeros(int(sizes.sum()), bool)
-        stays[order] = ~before if first_stays else ~before & ~after
-        stays = stays[begin[owner] + inside]
-        if not first_stays:
-            stays &= copies[owner] == 1
-        kept = np.flatnonzero(stays)
+    def each(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        at, copies = (t.column(k).to_numpy() for k in ("at", "copies"))
+        lo = at >> 32
+        count = (at & 0xFFFFFFFF) - lo + 1
+        kept = np.flatnonzero(windows_kept(t.column("text").to_pylist(), count, copies, depth, first_stays))
         if not len(kept):
             return
+        owner = np.repeat(np.arange(len(count)), count)
+        window = lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         new = np.concatenate([[True], (np.diff(kept) != 1) | (np.diff(owner[kept]) != 0)])
         a = kept[new]
         b = kept[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(kept) - 1]])]
-        d = t.column("d").take(pa.array(owner[a])).combine_chunks()
-        yield pa.RecordBatch.from_arrays([d, pa.array((lo[owner[a]] + inside[a]).astype(np.int32)), pa.array((lo[owner[b]] + inside[b]).astype(np.int32))], ["d", "lo", "hi"])
+        own = [t.column(k).to_numpy()[owner[a]] for k in ("id", "tie")]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(window[a] << 32 | window[b])], ["id", "tie", "at"])
 
-    kind = dict(texts.dtypes)["d"]
-    return texts.repartition("key").sortWithinPartitions("key", "d", "lo").mapInArrow(run, f"d {kind}, lo int, hi int")
+    return in_blocks(texts, each, "id bigint, tie bigint, at bigint", block)
 
 
-def _stay(docs: DataFrame, length: int, keep_first: bool, most: int) -> tuple[DataFrame, DataFrame, Units]:
+def _stay(docs: DataFrame, length: int, keep_first: bool, most: int) -> tuple[Keyed, DataFrame, Units]:
     units = Units(length, max(1, min(48, length // 3), length - 255), words=False)  # a minimizer's place is known modulo 256
     keyed = with_key(docs)
-    return keyed, windows_that_stay(keyed, units, first_stays=keep_first, by_text=lambda t: settle(t, length, keep_first), most=most), units
+    by_window = lambda w: (w if keep_first else w.where("copies = 1")).select("id", "tie", "at")
+    return keyed, windows_that_stay(keyed, units, by_text=lambda t: settle(t, length, keep_first), by_window=by_window, most=most), units
 
 
 def removed_digest(docs: DataFrame, *, length: int = 200, keep_first: bool = False, most: int = 4096) -> DataFrame:
@@ -148,7 +177,11 @@ def removed_digest(docs: DataFrame, *, length: int = 200, keep_first: bool = Fal
 
 
 def remove_substrings(docs: DataFrame, *, length: int = 200, keep_first: bool = True, most: int = 4096) -> DataFrame:
-    """docs, all columns, with `kept_text`: the text without the removed bytes; a sign goes only if all its bytes do."""
+    """docs, all columns, with `kept_text`: the text without the removed bytes; a sign goes only if all its bytes do.
+
+    Nulls, empty texts, repeated rows and empty tables as in removed_digest(); the kept text of a null text is empty.  If docs
+    have a column `kept_text`, that one is named `kept_text_of_docs`.
+    """
     keyed, stay, units = _stay(docs, length, keep_first, most)
 
     def each(data, starts, ends, removed):

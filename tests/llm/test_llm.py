@@ -74,24 +74,63 @@ def test_suffix_dedup_repeated_rows_and_ids(spark):
     assert texts[2] == "" and texts[1].endswith(t) and set(texts[1].removesuffix(t)) == {"é"}
 
 
-def test_suffix_order():
+def naive_previous(text, starts, depth, later=False):
+    """Longest previous (next) factors up to depth among the starts, by comparing all pairs."""
+    def shared(a, b):
+        n = 0
+        while n < depth and max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+            n += 1
+        return n
+
+    return [max((shared(a, b) for b in starts if (b > a if later else b < a)), default=0) for a in starts]
+
+
+def test_suffix_order_and_longest_previous_factors():
     rng = random.Random(6)
     for depth in (5, 8, 20, 60, 200):
-        text = bytes(rng.choice(b"ab") for _ in range(900)) + b"ab" * 300
+        text = bytes(rng.choice(b"ab") for _ in range(200)) + b"ab" * 100 + bytes(rng.choice(b"abcdefgh") for _ in range(100))
         starts = np.arange(len(text) - depth + 1)
-        order, cls = suffix_dedup.suffix_classes(np.frombuffer(text, np.uint8), starts, depth)
-        keys = [text[i : i + depth] for i in order]
+        raw = np.frombuffer(text, np.uint8)
+        order, cls = suffix_dedup.suffix_classes(raw, starts, depth)
+        keys = [text[i : i + depth] for i in starts[order]]
         assert keys == sorted(keys) and all((a == b) == (x == y) for a, b, x, y in zip(keys, keys[1:], cls, cls[1:]))
-        before, after = suffix_dedup.previous_factors(order, cls)
-        assert all(b == (text.find(k) < i) and a == (text.find(k, i + 1) >= 0) for i, k, b, a in zip(order.tolist(), keys, before, after))
+        lcp = suffix_dedup.common_prefixes(raw, starts[order], cls, depth)
+        for got, want in ((suffix_dedup.previous_factors(order, lcp), naive_previous(text, starts, depth)), (suffix_dedup.previous_factors(-order, lcp), naive_previous(text, starts, depth, True))):
+            assert got.tolist() == [want[i] for i in order]
+    none = np.zeros(0, np.int64)
+    assert len(suffix_dedup.previous_factors(none, none)) == 0
 
 
+def test_windows_kept_by_factors():
+    rng = random.Random(7)
+    for _ in range(60):
+        depth = rng.randrange(2, 12)
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(depth, depth + 30))) for _ in range(rng.randrange(1, 6))]
+        texts = list(dict.fromkeys(texts))
+        copies = np.array([rng.choice((1, 1, 3)) for _ in texts])
+        windows = np.array([len(t) - depth + 1 for t in texts])
+        seen = {}
+        for t, c in zip(texts, copies):
+            for i in range(len(t) - depth + 1):
+                seen[t[i : i + depth]] = seen.get(t[i : i + depth], 0) + int(c)
+        first, alone, met = [], [], set()
+        for t in texts:
+            for i in range(len(t) - depth + 1):
+                w = t[i : i + depth]
+                first.append(w not in met)
+                alone.append(seen[w] == 1)
+                met.add(w)
+        assert suffix_dedup.windows_kept(texts, windows, copies, depth, True).tolist() == first
+        assert suffix_dedup.windows_kept(texts, windows, copies, depth, False).tolist() == alone
+
+
+@pytest.mark.parametrize("most", [4096, 2])
 @pytest.mark.parametrize("first", [False, True])
-def test_debruijn(spark, first):
+def test_debruijn(spark, first, most):
     rows = sorted(corpus(1), key=lambda r: -1 if r[0] is None else r[0])
     own = [tuple((t or "").encode().split()) for _, t in rows]
     want = {(i, len(u), int(gone.sum()), hashlib.sha256(b" ".join(w for w, g in zip(u, gone) if not g)).hexdigest()) for (i, _), u, gone in zip(rows, own, brute(own, 12, first))}
-    got = debruijn.removed_words_digest(frame(spark, rows), k=12, keep_first=first).collect()
+    got = debruijn.removed_words_digest(frame(spark, rows), k=12, keep_first=first, most=most).collect()
     assert {tuple(r) for r in got} == want
 
 
