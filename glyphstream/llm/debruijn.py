@@ -8,8 +8,8 @@ An edge is a k-mer of consecutive words; its nodes are its first and last k - 1
    edges are told apart by their words, counted, and given their first source.  Inside the table a repeated edge and the next
    are one piece if their node has no other repeated edge in or out, both are as frequent, and their sources
    follow one another.
-3. Pieces meet at their end nodes by Spark joins.  Where a node has one piece in and one out, again as frequent and
-   with sources that follow one another, the two are parts of one nonbranching path.  Linked pieces lie
+3. Pieces meet at their end nodes by a grouped Spark join.  Where a node has one piece in and one out, again as
+   frequent and with sources that follow one another, the two are parts of one nonbranching path.  Linked pieces lie
    side by side in their source document, so a window over each source names all paths at once, in
    one shuffle instead of one for each doubling of their length.
 4. The paths, each with its source (document and words), are the long repeated spans; all edges that are not
@@ -107,16 +107,19 @@ def pieces(texts: DataFrame, k: int, block: int = 1 << 20) -> DataFrame:
 
 
 def paths(found: DataFrame) -> DataFrame:
-    """(id, tie, at, n): the pieces, those of nonbranching paths put together."""
+    """(id, tie, at, n): the pieces, those of nonbranching paths put together.
+
+    The pieces that end and those that begin at a node are joined by an aggregation on the node, which is
+    combined before its shuffle, so a node with very many pieces is no hot key.
+    """
     lo, hi = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
     ends = F.array(F.struct(F.col("right").alias("node"), F.lit(True).alias("into")), F.struct(F.col("left").alias("node"), F.lit(False).alias("into")))
-    at_node = found.where("n > 1").select("id", "tie", lo.alias("lo"), hi.alias("hi"), "n", F.explode(ends).alias("e")).select("e.node", "e.into", "id", "tie", "lo", "hi", "n")
-    # One shuffle by node serves the degrees and both sides of the joins.
-    at_node = at_node.repartition("node")
-    plain = at_node.groupBy("node").agg(F.count_if("into").alias("ways_in"), F.count_if(~F.col("into")).alias("ways_out")).where("ways_in = 1 and ways_out = 1").select("node")
-    before = at_node.where("into").select("node", "id", "tie", (F.col("hi") + 1).alias("lo"), "n")
-    after = at_node.where("not into").select("node", "id", "tie", "lo", "n")
-    links = before.join(plain, "node").join(after, ["node", "id", "tie", "lo", "n"]).select("id", "tie", "lo", F.lit(True).alias("link"), F.lit(None).cast("bigint").alias("hi"), F.lit(None).cast("bigint").alias("n"))
+    at_node = found.select("id", "tie", lo.alias("lo"), hi.alias("hi"), "n", F.explode(ends).alias("e")).where("e.node is not null")
+    before = F.when(F.col("e.into"), F.struct("id", "tie", (F.col("hi") + 1).alias("lo"), "n"))
+    after = F.when(~F.col("e.into"), F.struct("id", "tie", "lo", "n"))
+    nodes = at_node.groupBy("e.node").agg(F.count_if("e.into").alias("ways_in"), F.count_if(~F.col("e.into")).alias("ways_out"), F.max(before).alias("before"), F.max(after).alias("after"))
+    links = nodes.where("ways_in = 1 and ways_out = 1 and before = after")
+    links = links.select("after.id", "after.tie", "after.lo", F.lit(True).alias("link"), F.lit(None).cast("bigint").alias("hi"), F.lit(None).cast("bigint").alias("n"))
     own = found.select("id", "tie", lo.alias("lo"), F.lit(False).alias("link"), hi.alias("hi"), "n")
     w = Window.partitionBy("id", "tie").orderBy("lo", F.desc("link"))
     linked = F.coalesce(F.lag("link").over(w) & (F.lag("lo").over(w) == F.col("lo")), F.lit(False))

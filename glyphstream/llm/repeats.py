@@ -85,12 +85,14 @@ class Common:
 
     def __init__(self, grams: np.ndarray):
         self.grams = np.sort(grams.astype(np.uint64))
-        self.heads = np.zeros(1 << 16, bool)
-        self.heads[self.grams >> np.uint64(39)] = True
+        self.heads = np.zeros(1 << 22, bool)
+        self.heads[(self.grams >> np.uint64(33)).astype(np.int64)] = True
 
     def at(self, h: np.ndarray) -> np.ndarray:
-        near = np.flatnonzero(self.heads[h >> np.uint64(47)])
-        return near[np.isin(h[near] >> np.uint64(8), self.grams)]
+        near = np.flatnonzero(self.heads[(h >> np.uint64(41)).view(np.int64)])
+        own = h[near] >> np.uint64(8)
+        found = np.searchsorted(self.grams, own)
+        return near[self.grams[np.minimum(found, len(self.grams) - 1)] == own]
 
 
 @dataclass(frozen=True)
@@ -116,7 +118,7 @@ def with_key(docs: DataFrame) -> Keyed:
     return Keyed(docs.select(own.alias("id"), tie.alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), repeated)
 
 
-def common_grams(keyed: Keyed, units: Units, docs: int = 2000, least: int = 8, most: int = 1 << 16) -> Common | None:
+def common_grams(keyed: Keyed, units: Units, docs: int = 500, least: int = 4, most: int = 1 << 14) -> Common | None:
     """Grams that `least` of about `docs` sampled documents hold, the most common `most` of them.
 
     They only say by which minimizers windows are dealt, never what repeats: windows of a common passage meet
