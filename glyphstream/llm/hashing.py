@@ -17,15 +17,18 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 SIGNS = ((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2.0 - 1
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse; the longest made stay."""
-    if len(_POWERS[0]) < n:
-        n = max(n, 2 * len(_POWERS[0]), 1 << 12)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def powers(n: int, kept: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; those made stay, if they are `kept` at most."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    size, made = max(n, min(2 * n, kept), 1 << 12), []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if size <= kept:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -1,10 +1,12 @@
 """Media columns: payloads stored as images in archives, and a data source that reads them back.
 
 A payload becomes an 8-bit grey PNG of 64 samples a row.  Tasks put the images into ZIP archives
-(stored, not packed again) in a folder that all executors share; an archive gets its final name
-only when complete, so a task that runs twice leaves the same files.  The data source plans
-byte ranges of the archives from the ends of their directories, and a range's task takes the
-members whose headers start in it, one read for each, checked and tried anew on its own.
+(stored, not packed again) in a folder that all executors share.  Every attempt of a task names its
+archives anew, and the table of the archives (manifest) is written with Spark's commit protocol, so it lists
+those of one attempt of each task whatever ran twice, in whatever order.  The data source plans byte
+ranges of the listed archives from the manifest alone; a range's task compares the archive's directory
+with it and takes the members whose headers start in the range, one read for each, checked and
+tried anew on its own.  An archive that is lost or differs is an error.
 """
 
 from __future__ import annotations
@@ -80,52 +82,97 @@ def features(payload: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};entropy={-(p * np.log2(p)).sum():.4f};same={same:.4f};zeros={n[0]}"
 
 
+MANIFEST = "archive string, size bigint, members bigint, directory bigint, directory_size bigint, directory_crc32 bigint"
+
+
 def write_archives(docs: DataFrame, root: str, *, most: int = 32 << 20) -> DataFrame:
-    """Writes doc_id, text as images into archives of about `most` bytes under root; (archive, members) rows."""
+    """Writes doc_id, text as images into archives of about `most` bytes under root; a row of MANIFEST for each.
+
+    A null text is stored as an empty one, a null doc_id in the member's name; equal rows are stored each for itself.
+    An empty table gives no archive.  Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = filesystem(root)
         where.create_dir(path, recursive=True)
-        task, number, names, counts = TaskContext.get(), 0, [], []
-        sink = out = None
+        attempt, found = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", []
+        name = sink = out = None
 
         def close():
-            nonlocal sink, out, number
-            if out:
-                counts.append(len(out.namelist()))
-                out.close()
+            nonlocal out
+            members = len(out.namelist())
+            out.close()
+            sink.close()
+            out = None
+            found.append((name, *directory_of(where, f"{path}/{name}", members)))
+
+        size = 0
+        try:
+            for batch in slices(batches, "text", 4 << 20):
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if out is None:
+                        name, size = f"{attempt}-{len(found):05d}.zip", 0
+                        sink = where.open_output_stream(f"{path}/{name}")
+                        out = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
+                    media = to_png((text or "").encode("utf-8", "replace"))
+                    out.writestr(zipfile.ZipInfo(f"{len(out.filelist):07d}-{'null' if doc is None else doc}.png"), media)
+                    size += len(media)
+                    if size >= most:
+                        close()
+            if out is not None:
+                close()
+        except BaseException:
+            with suppress(Exception):
                 sink.close()
-                names.append(f"part-{task.partitionId():06d}-{number:05d}.zip")
-                where.move(f"{path}/{temporary}", f"{path}/{names[-1]}")
-                sink, out, number = None, None, number + 1
-
-        for batch in slices(batches, "text", 4 << 20):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if out is None:
-                    temporary = f"_{task.taskAttemptId()}-{uuid.uuid4().hex}.tmp"
-                    sink = where.open_output_stream(f"{path}/{temporary}")
-                    out = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
-                    size = 0
-                media = to_png((text or "").encode("utf-8", "replace"))
-                info = zipfile.ZipInfo(f"{len(out.filelist):07d}-{'null' if doc is None else doc}.png")
-                out.writestr(info, media)
-                size += len(media)
-                if size >= most:
-                    close()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["archive", "members"])
+            for gone in {name, *(f[0] for f in found)} - {None}:
+                with suppress(OSError):
+                    where.delete_file(f"{path}/{gone}")
+            raise
+        kinds = [pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in MANIFEST.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "archive string, members bigint")
+    return rows.mapInArrow(run, MANIFEST)
 
 
-@dataclass
-class ByteRange(InputPartition):
+def store(docs: DataFrame, root: str, *, most: int = 32 << 20) -> None:
+    """write_archives() with the manifest under root; an older manifest there is replaced, and archives that none lists are deleted."""
+    from pyarrow import fs
+
+    where, path = filesystem(root)
+    where.create_dir(path, recursive=True)
+    write_archives(docs, root, most=most).write.mode("overwrite").parquet(f"{root.rstrip('/')}/manifest")
+    listed = {f.archive for f in manifest(where, path)}
+    for x in where.get_file_info(fs.FileSelector(path)):
+        if x.is_file and x.base_name.endswith(".zip") and x.base_name not in listed:
+            with suppress(OSError):
+                where.delete_file(x.path)
+
+
+@dataclass(frozen=True)
+class Archive:
     archive: str
-    first: int
-    end: int
+    size: int
+    members: int | None
     directory: int  # where the directory starts and how long it is
     directory_size: int
+    directory_crc32: int | None
+
+
+@dataclass
+class ByteRanges(InputPartition):
+    ranges: list[tuple[Archive, int, int]]
+
+
+def manifest(where, path: str) -> list[Archive] | None:
+    """The archives that the manifest under path lists, by name; None without one."""
+    from pyarrow import fs, parquet
+
+    folder = where.get_file_info(f"{path}/manifest")
+    if folder.type != fs.FileType.Directory:
+        return None
+    files = [x.path for x in where.get_file_info(fs.FileSelector(folder.path)) if x.base_name.endswith(".parquet")]
+    return sorted((Archive(**r) for f in files for r in parquet.read_table(f, filesystem=where).to_pylist()), key=lambda a: a.archive)
 
 
 def directory_end(read, size: int) -> tuple[int, int]:
@@ -141,34 +188,60 @@ def directory_end(read, size: int) -> tuple[int, int]:
     return start, length
 
 
+def directory_of(where, path: str, members: int | None) -> tuple[int, int | None, int, int, int]:
+    """Size, members, and start, length and checksum of the directory of the archive at path."""
+    size = where.get_file_info(path).size
+    with where.open_input_file(path) as f:
+        start, length = directory_end(lambda o, n: (f.seek(o), f.read(n))[1], size)
+        f.seek(start)
+        return size, members, start, length, zlib.crc32(f.read(length))
+
+
 def directory_entries(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
-    """(name, header offset, stored size, crc32, method) of each member."""
+    """(name, header offset, stored size, crc32, method) of each member; sizes beyond 32 bits stand in an extra field."""
     at = 0
     while data[at : at + 4] == b"PK\1\2":
         method, _, _, crc, size, full, n, extra, note = struct.unpack_from("<HHHIIIHHH", data, at + 10)
         offset = struct.unpack_from("<I", data, at + 42)[0]
+        field, end = at + 46 + n, at + 46 + n + extra
+        while field + 4 <= end:
+            kind, length = struct.unpack_from("<HH", data, field)
+            if kind == 1:
+                wide = iter(struct.unpack_from(f"<{length // 8}Q", data, field + 4))
+                full = next(wide) if full == 0xFFFFFFFF else full
+                size = next(wide) if size == 0xFFFFFFFF else size
+                offset = next(wide) if offset == 0xFFFFFFFF else offset
+            field += 4 + length
         yield data[at + 46 : at + 46 + n].decode(), offset, size, crc, method
-        at += 46 + n + extra + note
+        at = end + note
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
-        self.range_bytes = int(options.get("rangeBytes", 8 << 20))
-        self.batch_bytes = int(options.get("batchBytes", 4 << 20))
+        self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", 8 << 20)))
+        self.batch_bytes = int(options.get("batchbytes", options.get("batchBytes", 4 << 20)))
         self.tries = int(options.get("tries", 3))
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
+        """Ranges of about rangeBytes; small archives share one.  Only a folder without manifest is listed, and its archives' ends read."""
         from pyarrow import fs
 
         where, path = filesystem(self.root)
-        found = []
-        for x in sorted(where.get_file_info(fs.FileSelector(path)), key=lambda x: x.path):
-            if x.path.endswith(".zip") and x.size:
-                with where.open_input_file(x.path) as f:
-                    start, length = directory_end(lambda o, n, f=f: (f.seek(o), f.read(n))[1], x.size)
-                found += [ByteRange(x.path, a, min(a + self.range_bytes, start), start, length) for a in range(0, start, self.range_bytes)]
-        return found or [ByteRange("", 0, 0, 0, 0)]
+        found = manifest(where, path)
+        if found is None:
+            listed = sorted(x.path for x in where.get_file_info(fs.FileSelector(path)) if x.path.endswith(".zip") and x.size)
+            found = [Archive(x.removeprefix(f"{path}/"), *directory_of(where, x, None)) for x in listed]
+        out, room = [], 0
+        for a in found:
+            for first in range(0, a.directory, self.range_bytes):
+                end = min(first + self.range_bytes, a.directory)
+                if end - first > room:
+                    out.append(ByteRanges([]))
+                    room = self.range_bytes
+                out[-1].ranges.append((a, first, end))
+                room -= end - first
+        return out or [ByteRanges([])]
 
     def _member(self, where, archive: str, entry: tuple) -> tuple[bytes | None, int, str | None]:
         """A member's bytes by its own offset; a failed try opens the archive anew."""
@@ -197,19 +270,26 @@ class ArchiveReader(DataSourceReader):
             raise ValueError("checksum differs")
         return data
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
-        where, _ = filesystem(self.root)
-        with where.open_input_file(partition.archive) as f:
-            f.seek(partition.directory)
-            entries = [e for e in directory_entries(f.read(partition.directory_size)) if partition.first <= e[1] < partition.end]
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        where, path = filesystem(self.root)
+        for a, first, end in partition.ranges:
+            yield from self._range(where, f"{path}/{a.archive}", a, first, end)
+
+    def _range(self, where, archive: str, listed: Archive, first: int, end: int) -> Iterator[pa.RecordBatch]:
+        with where.open_input_file(archive) as f:
+            f.seek(listed.directory)
+            directory = f.read(listed.directory_size)
+            entries = list(directory_entries(directory))
+            if f.size() != listed.size or zlib.crc32(directory) != listed.directory_crc32 or listed.members not in (None, len(entries)):
+                raise ValueError(f"{archive} isn't the archive that the manifest lists")
             rows, size = [], 0
             for e in entries:
+                if not first <= e[1] < end:
+                    continue
                 try:
                     got = self._read(f, *e[1:]), 1, None
                 except (OSError, ValueError, zlib.error, struct.error):
-                    got = self._member(where, partition.archive, e)
+                    got = self._member(where, archive, e)
                 doc = e[0].partition("-")[2].removesuffix(".png")
                 rows.append((int(doc) if doc.removeprefix("-").isdigit() else None, e[0], e[1], *got))
                 size += len(got[0] or b"")
@@ -240,7 +320,10 @@ class ArchiveSource(DataSource):
 
 
 def describe(members: DataFrame) -> DataFrame:
-    """Lengths, hashes and features of stored payloads; a member with an error gives nulls beside it."""
+    """Lengths, hashes and features of stored payloads (doc_id, media, error); a member with an error gives nulls beside it.
+
+    Null media are an error too; equal rows give equal results, an empty table no row; other columns are ignored.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
@@ -277,8 +360,6 @@ def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
                 where.delete_dir(path)
 
         atexit.register(remove)
-    where, path = filesystem(root)
-    where.create_dir(path, recursive=True)
-    write_archives(docs, root).write.format("noop").mode("overwrite").save()
+    store(docs, root)
     spark.dataSource.register(ArchiveSource)
     return describe(spark.read.format("glyph_archive").load(root))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -204,9 +205,39 @@ def test_similar_documents(spark, most):
     assert of[901] == of[900] == 900 and of[903] == of[902] == 902 and of[904] == 904 and of[None] == of[0] == of[905]
 
 
-def test_fingerprints(spark):
+def plain_fingerprint(text):
+    """The 128 bits by one vote after another."""
+    words = (text or "").encode().split()
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    own = [mix(sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(w)) & mask) for w in words]
+    terms = [(mix((a * 3 + b) & mask), len(v) + len(w)) for a, b, v, w in zip(own, own[1:], words, words[1:])] or [(h, len(w)) for h, w in zip(own, words)]
+    bits = 0
+    for part, salt in ((0, None), (1, 0xD6E8FEB86659FD93)):
+        for bit in range(64):
+            vote = sum(n if (h if salt is None else mix(h ^ salt)) >> bit & 1 else -n for h, n in terms)
+            bits |= (vote > 0) << (64 * part + bit)
+    return f"{bits:032x}"
+
+
+def test_fingerprint_by_plain_votes():
+    for _, t in corpus(5, 25):
+        assert fingerprints.fingerprint(t or "").hex() == plain_fingerprint(t)
+    assert fingerprints.fingerprint("") == fingerprints.fingerprint(" \t\n") == bytes(16)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_fingerprints(spark, parts):
     rows = [(i, t) for i, t in corpus(2) if i is not None]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_with_next(frame(spark, rows)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     order = sorted(rows, reverse=True, key=lambda r: r[0])
     assert len(got) == len(rows)
     for k, (i, t) in enumerate(order):
@@ -214,19 +245,34 @@ def test_fingerprints(spark):
         cut = len(t) // 3
         changed = t[: len(t) - cut] + other[:cut]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        assert got[i]["fingerprint"] == fingerprints.fingerprint(t).hex() and got[i]["edited_fingerprint"] == fingerprints.fingerprint(changed).hex()
+        assert got[i]["fingerprint"] == plain_fingerprint(t) and got[i]["edited_fingerprint"] == plain_fingerprint(changed)
         assert got[i]["near_next"] == fingerprints.likeness(fingerprints.fingerprint(t), fingerprints.fingerprint(other))
     alone = fingerprints.fingerprint_with_next(frame(spark, [(None, "a b")])).first()
     assert alone["near_next"] == 1.0
 
 
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    rows = [(None, "x y z"), (None, "x y z"), (None, None), (5, "a b c d e f"), (5, "other text here now"), (5, "a b c d e f"), (7, "top of all documents")]
+    got = fingerprints.fingerprint_with_next(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((i or 0, len(t or "")) for i, t in rows)
+    top = next(r for r in got if r["doc_id"] == 7)
+    assert top["edited_sha256"] in {hashlib.sha256(f"top of all doc{t[:6]}".encode()).hexdigest() for t in ("a b c d e f", "other text here now")}
+    texts, seconds = {t or "" for _, t in rows}, {r["edited_sha256"] for r in got}
+    assert seconds <= {hashlib.sha256((t[: len(t) - len(t) // 3] + o[: len(t) // 3]).encode()).hexdigest() for t in texts for o in texts}
+
+
 def test_find_within(spark):
     rng = random.Random(8)
     fps = [rng.getrandbits(128) for _ in range(30)]
     fps += [f ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(6))) for f in fps for _ in range(3)]
     df = spark.createDataFrame([(i, f"{f:032x}") for i, f in enumerate(fps)] + [(999, None)], "id int, fingerprint string")
-    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(fps) for j, b in enumerate(fps) if (a ^ b).bit_count() <= 3}
+    least = {f: fps.index(f) for f in fps}
+    want = {(least[a], least[b], (a ^ b).bit_count()) for a in fps for b in fps if (a ^ b).bit_count() <= 3}
     assert sorted(tuple(r) for r in fingerprints.find_within(df, df, 3, 6).collect()) == sorted(want)
+    assert {(r["id"], r["class"]) for r in fingerprints.classes(df).collect()} == {(i, least[f]) for i, f in enumerate(fps)}
+    copies = spark.createDataFrame([(i, "0" * 32) for i in range(300)], "id int, fingerprint string")
+    assert [tuple(r) for r in fingerprints.find_within(copies, copies).collect()] == [(0, 0, 0)]
+    assert fingerprints.find_within(df.limit(0), df).collect() == []
 
 
 def test_packing(spark):
@@ -292,17 +338,52 @@ def test_media(spark, tmp_path):
     assert len({r["media_sha256"] for r in got if r["doc_id"] == 7 and r["n_bytes"] == 3}) == 1
 
 
+def stored(spark, root, **options):
+    spark.dataSource.register(media.ArchiveSource)
+    return media.describe(spark.read.format("glyph_archive").options(**options).load(str(root)))
+
+
 def test_media_damage(spark, tmp_path):
-    media.write_archives(frame(spark, [(1, "one"), (2, "two")]).coalesce(1), str(tmp_path / "m")).collect()
+    media.store(frame(spark, [(1, "one"), (2, "two")]).coalesce(1), str(tmp_path / "m"))
     (path,) = (tmp_path / "m").glob("*.zip")
     data = bytearray(path.read_bytes())
     data[data.find(b"IDAT") + 6] ^= 255
     path.write_bytes(bytes(data))
-    spark.dataSource.register(media.ArchiveSource)
-    got = {r["doc_id"]: r for r in media.describe(spark.read.format("glyph_archive").option("rangeBytes", 100).load(str(tmp_path / "m"))).collect()}
+    got = {r["doc_id"]: r for r in stored(spark, tmp_path / "m", rangeBytes=100).collect()}
     assert got[1]["error"] and got[1]["n_bytes"] is None and got[2]["n_bytes"] == 3 and got[2]["error"] is None
 
 
+def test_media_written_twice_or_lost(spark, tmp_path):
+    """Attempts that run again in another order leave no second row; a lost or changed archive is an error."""
+    root, rows = tmp_path / "m", [(i, f"text {i} " * 40) for i in range(60)]
+    media.write_archives(frame(spark, rows).repartition(3), str(root), most=2000).collect()  # an attempt whose rows never reach the manifest
+    for parts, most in ((2, 3000), (4, 1500)):
+        media.store(frame(spark, rows).repartition(parts), str(root), most=most)
+        for size in (500, 8 << 20):
+            got = stored(spark, root, rangeBytes=size).collect()
+            assert sorted(r["doc_id"] for r in got) == list(range(60)) and not any(r["error"] for r in got)
+    media.store(frame(spark, []), str(tmp_path / "none"))
+    assert stored(spark, tmp_path / "none").collect() == []
+    one, other = sorted(root.glob("*.zip"))[:2]
+    data = one.read_bytes()
+    one.write_bytes(other.read_bytes())
+    with pytest.raises(Exception, match="manifest"):
+        stored(spark, root).collect()
+    one.unlink()
+    with pytest.raises(Exception, match="No such file|not exist"):
+        stored(spark, root).collect()
+    one.write_bytes(data)
+    (root / "manifest").rename(root / "elsewhere")  # a folder of archives alone
+    assert stored(spark, root).count() == 60
+
+
+def test_directory_entries_beyond_32_bits():
+    name, wide = b"0000000-5.png", (5_000_000_000, 6_000_000_000, 7_000_000_000)
+    extra = struct.pack("<HH3Q", 1, 24, *wide)
+    head = b"PK\1\2" + struct.pack("<HHHHHHIIIHHHHHII", 45, 45, 0, 0, 0, 0, 77, 0xFFFFFFFF, 0xFFFFFFFF, len(name), len(extra), 0, 0, 0, 0, 0xFFFFFFFF)
+    assert list(media.directory_entries(head + name + extra)) == [("0000000-5.png", wide[2], wide[1], 77, 0)]
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
