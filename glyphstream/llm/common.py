@@ -12,7 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of so many rows to Python, where the session sets no other size: 10,000 whole texts take much memory on both sides."""
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -87,6 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # a worker lives on beside those of other stages
 
 
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:

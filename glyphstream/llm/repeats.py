@@ -157,6 +157,7 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[t
         for x, y in zip(edges, edges[1:]):
             if y > x:
                 yield batch.slice(x, y - x), [t or "" for t in col.slice(x, y - x).to_pylist()]
+    pa.default_memory_pool().release_unused()
 
 
 def find_runs(keyed: Keyed, units: Units, common: Common | None) -> DataFrame:
