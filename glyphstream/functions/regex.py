@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphstream.functions.unicode_sets import by_name, by_property, loose
+from glyphstream.functions.unicode_sets import by_name, by_property, loose, value_names
 
 BREAKS = r"\n\x0B\f\r\x{85}\x{2028}\x{2029}"
 DIALECTS = ("pcre", "ere", "bre", "prosite", "fixed")
@@ -182,8 +182,8 @@ def literal(c: str, fold: bool = False) -> Cls:
 POSIX = {"alnum": "\\p{Alnum}", "alpha": "\\p{Alpha}", "blank": "\\p{Blank}", "cntrl": "\\p{Cntrl}", "digit": "\\d", "graph": "\\p{Graph}", "lower": "\\p{Lower}", "print": "\\p{Print}", "punct": "\\p{Punct}", "space": "\\s", "upper": "\\p{Upper}", "word": "\\w", "xdigit": "\\p{XDigit}"}
 #: Long names of general categories.
 CATEGORIES = {"letter": "L", "casedletter": "LC", "uppercaseletter": "Lu", "lowercaseletter": "Ll", "titlecaseletter": "Lt", "modifierletter": "Lm", "otherletter": "Lo", "mark": "M", "nonspacingmark": "Mn", "spacingmark": "Mc", "enclosingmark": "Me", "number": "N", "decimalnumber": "Nd", "letternumber": "Nl", "othernumber": "No", "punctuation": "P", "connectorpunctuation": "Pc", "dashpunctuation": "Pd", "openpunctuation": "Ps", "closepunctuation": "Pe", "initialpunctuation": "Pi", "finalpunctuation": "Pf", "otherpunctuation": "Po", "symbol": "S", "mathsymbol": "Sm", "currencysymbol": "Sc", "modifiersymbol": "Sk", "othersymbol": "So", "separator": "Z", "spaceseparator": "Zs", "lineseparator": "Zl", "paragraphseparator": "Zp", "other": "C", "control": "Cc", "format": "Cf", "surrogate": "Cs", "privateuse": "Co", "unassigned": "Cn"}
-#: Binary properties that Java knows.
-BINARY = {"alphabetic": "Alphabetic", "alpha": "Alphabetic", "ideographic": "Ideographic", "ideo": "Ideographic", "uppercase": "Uppercase", "upper": "Uppercase", "lowercase": "Lowercase", "lower": "Lowercase", "whitespace": "White_Space", "wspace": "White_Space", "space": "White_Space", "hexdigit": "Hex_Digit", "hex": "Hex_Digit", "joincontrol": "Join_Control", "joinc": "Join_Control", "noncharactercodepoint": "Noncharacter_Code_Point", "nchar": "Noncharacter_Code_Point", "assigned": "Assigned"}
+#: Binary properties that Java knows (its Hex_Digit has all decimal digits, so that one comes from elsewhere).
+BINARY = {"alphabetic": "Alphabetic", "alpha": "Alphabetic", "ideographic": "Ideographic", "ideo": "Ideographic", "uppercase": "Uppercase", "upper": "Uppercase", "lowercase": "Lowercase", "lower": "Lowercase", "whitespace": "White_Space", "wspace": "White_Space", "space": "White_Space", "joincontrol": "Join_Control", "joinc": "Join_Control", "noncharactercodepoint": "Noncharacter_Code_Point", "nchar": "Noncharacter_Code_Point", "assigned": "Assigned"}
 #: Scripts that patterns may select by a pattern over their names.
 SCRIPTS = "Adlam Ahom Anatolian_Hieroglyphs Arabic Armenian Avestan Balinese Bamum Bassa_Vah Batak Bengali Bhaiksuki Bopomofo Brahmi Braille Buginese Buhid Canadian_Aboriginal Carian Caucasian_Albanian Chakma Cham Cherokee Common Coptic Cuneiform Cypriot Cyrillic Deseret Devanagari Duployan Egyptian_Hieroglyphs Elbasan Ethiopic Georgian Glagolitic Gothic Grantha Greek Gujarati Gurmukhi Han Hangul Hanunoo Hatran Hebrew Hiragana Imperial_Aramaic Inherited Inscriptional_Pahlavi Inscriptional_Parthian Javanese Kaithi Kannada Katakana Kayah_Li Kharoshthi Khmer Khojki Khudawadi Lao Latin Lepcha Limbu Linear_A Linear_B Lisu Lycian Lydian Mahajani Malayalam Mandaic Manichaean Marchen Meetei_Mayek Mende_Kikakui Meroitic_Cursive Meroitic_Hieroglyphs Miao Modi Mongolian Mro Multani Myanmar Nabataean New_Tai_Lue Newa Nko Ogham Ol_Chiki Old_Hungarian Old_Italic Old_North_Arabian Old_Permic Old_Persian Old_South_Arabian Old_Turkic Oriya Osage Osmanya Pahawh_Hmong Palmyrene Pau_Cin_Hau Phags_Pa Phoenician Psalter_Pahlavi Rejang Runic Samaritan Saurashtra Sharada Shavian Siddham SignWriting Sinhala Sora_Sompeng Sundanese Syloti_Nagri Syriac Tagalog Tagbanwa Tai_Le Tai_Tham Tai_Viet Takri Tamil Tangut Telugu Thaana Thai Tibetan Tifinagh Tirhuta Ugaritic Vai Warang_Citi Yi".split()
 _SCRIPT = {loose(s): s for s in SCRIPTS}
@@ -202,10 +202,8 @@ def property_class(spec: str, negate: bool = False) -> str:
         found = "[" + "".join(property_class(f"{name}={v}") for v in names) + "]" if names else "[^\\x{0}-\\x{10FFFF}]"
     elif eq and key in ("gc", "generalcategory"):
         found = property_class(value)
-    elif eq and key in ("sc", "script", "scx", "scriptextensions"):
-        found = f"\\p{{script={_SCRIPT.get(low, value)}}}"
-    elif eq and key in ("blk", "block"):
-        found = f"\\p{{block={value}}}"
+    elif eq and key in ("sc", "script") and low in _SCRIPT:
+        found = f"\\p{{script={_SCRIPT[low]}}}"
     elif eq and key in BINARY:
         found = property_class(name, low in ("n", "no", "f", "false"))
     elif not eq:
@@ -232,12 +230,34 @@ def property_class(spec: str, negate: bool = False) -> str:
 
 
 def property_values(key: str, pattern: str) -> list[str]:
-    """Value names that have a match of the pattern, compared loosely."""
+    """Names of the property's values that have a match of the pattern, compared loosely; an unknown property is an error."""
     test = re.compile(pattern.replace("_", "").replace(" ", ""), re.I)
-    names = SCRIPTS if key in ("sc", "script", "scx", "scriptextensions") else [*CATEGORIES] if key in ("gc", "generalcategory") else []
+    names = SCRIPTS if key in ("sc", "script") else [*CATEGORIES] if key in ("gc", "generalcategory") else value_names(key)
+    if names is None:
+        raise UnsupportedRegex(f"unknown property {key}")
     return [n for n in names if test.search(loose(n))]
 
 
+def reverse(n: Node) -> Node:
+    """The node that matches just the reversed texts."""
+    match n:
+        case Seq(items):
+            return Seq(tuple(map(reverse, reversed(items))))
+        case Alt(items):
+            return Alt(tuple(map(reverse, items)))
+        case Rep(item, low, high):
+            return Rep(reverse(item), low, high)
+        case Group(item, number):
+            return Group(reverse(item), number)
+        case Look(sign, item):
+            return Look({"=": "<=", "<=": "=", "!": "<!", "<!": "!"}[sign], reverse(item))
+        case Cls():
+            return n
+    if n in (START, END):
+        return END if n == START else START
+    raise UnsupportedRegex(f"{emit(n)} can't be reversed")
+
+
 @dataclass
 class Flags:
     fold: bool = False

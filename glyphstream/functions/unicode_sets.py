@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import regex
+import regex._regex
+
 TOP = 0x10FFFF
 #: Alphabets by their last code point.
 ALPHABETS = {"Unicode": TOP, "ASCII": 0x7F, "ISO_Latin1": 0xFF, "ExtendedASCII": 0xFF}
@@ -76,24 +79,39 @@ def by_name(pattern: str) -> UnicodeSet:
     return UnicodeSet.where(lambda c: bool(test.search(unicodedata.name(c, ""))))
 
 
-@lru_cache(64)
-def by_property(name: str) -> UnicodeSet | None:
-    """Properties that Java has not, computed from Python's data; None if unknown."""
-    simple = loose(name)
-    if m := re.fullmatch(r"(ea|eastasianwidth)=(\w+)", simple):
-        return UnicodeSet.where(lambda c: unicodedata.east_asian_width(c).lower() == m[2])
-    if m := re.fullmatch(r"(ccc|canonicalcombiningclass)=(\d+)", simple):
-        return UnicodeSet.where(lambda c: unicodedata.combining(c) == int(m[2]))
-    if m := re.fullmatch(r"(bc|bidiclass)=(\w+)", simple):
-        return UnicodeSet.where(lambda c: unicodedata.bidirectional(c).lower() == m[2])
-    if m := re.fullmatch(r"(nt|numerictype)=(de|decimal|di|digit|nu|numeric)", simple):
-        kind = m[2][:2]
-        return UnicodeSet.where(lambda c: {"de": unicodedata.decimal(c, None) is not None, "di": unicodedata.digit(c, None) is not None and unicodedata.decimal(c, None) is None, "nu": unicodedata.numeric(c, None) is not None and unicodedata.digit(c, None) is None}[kind])
-    if m := re.fullmatch(r"(nfc|nfd|nfkc|nfkd)(qc|quickcheck)=(y|n|yes|no)", simple):
-        form, want = m[1].upper(), m[3][0] == "y"
-        return UnicodeSet.where(lambda c: (unicodedata.normalize(form, c) == c) == want)
-    own: dict[str, Callable[[str], bool]] = {"idstart": str.isidentifier, "ids": str.isidentifier, "idcontinue": lambda c: ("a" + c).isidentifier(), "idc": lambda c: ("a" + c).isidentifier(), "math": lambda c: unicodedata.category(c) == "Sm", "dash": lambda c: unicodedata.category(c) == "Pd", "cased": lambda c: c.lower() != c or c.upper() != c, "numeric": str.isnumeric}
-    return UnicodeSet.where(own[simple]) if simple in own else None
+@lru_cache(1)
+def _all_signs() -> str:
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, TOP + 1)]))
+
+
+@lru_cache(256)
+def by_property(spec: str) -> UnicodeSet | None:
+    """The set of `name` or `name=value` from the Unicode data of the regex module; None if it doesn't know them.
+
+    These are binary, enumerated and numeric properties and script extensions, in the module's Unicode
+    version; names and values compare loosely.
+    """
+    if not re.fullmatch(r"[\w .:=/-]+", spec):
+        return None
+    try:
+        found = regex.compile(f"\\p{{{spec}}}+")
+    except regex.error:
+        return None
+    spans = []
+    for m in found.finditer(_all_signs()):
+        lo, hi = m.start(), m.end() - 1
+        if lo < 0xD800 <= hi:  # the run passes over the surrogates
+            spans += [(lo, 0xD7FF), (0xE000, hi + 0x800)]
+        else:
+            gap = 0x800 * (lo >= 0xD800)
+            spans.append((lo + gap, hi + gap))
+    return UnicodeSet.of(spans)
+
+
+def value_names(name: str) -> list[str] | None:
+    """The names of a property's values; None if the property isn't known."""
+    found = regex._regex.get_properties().get(re.sub(r"[\s_-]", "", name).upper())
+    return sorted(v for v in found[1]) if found else None
 
 
 def loose(name: str) -> str:

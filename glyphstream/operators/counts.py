@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,8 @@ def wc(df: DataFrame, key: str, text: str, *, columns: tuple[str, ...] = ("lines
     if not total:
         return own
     return own.unionByName(own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]).select(F.lit("total").alias(key), *columns))
+
+
+def observed(df: DataFrame, text: str, to: Observation) -> DataFrame:
+    """df unchanged; when an action has run over it, `to.get` holds the rows, null texts and bytes that passed here."""
+    return df.observe(to, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(text).isNull()).alias("nulls"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"))

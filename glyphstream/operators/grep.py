@@ -81,6 +81,21 @@ def match(df: DataFrame, key: str, text: str, pattern, *, invert: bool = False,
     return own.withColumn("near", near).where("near").select(key, "line_no", "line", "hit")
 
 
+def which(df: DataFrame, key: str, text: str, patterns: list[str], *, mode: str = "unicode", **options) -> DataFrame:
+    """(key, line_no, line, patterns): lines that any pattern matches, with the indices of all that do, in one pass.
+
+    Each pattern is compiled once into the plan, so no join and no pattern column is needed.
+    """
+    tests = [_test(p, False, options) for p in patterns]
+
+    def marked(x: Column, i: Column) -> Column:
+        own = F.filter(F.array(*[F.when(t(x), F.lit(k)) for k, t in enumerate(tests)]), lambda k: k.isNotNull())
+        return F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("line"), own.alias("patterns"))
+
+    found = F.filter(F.transform(line_array(F.col(text), mode), marked), lambda x: F.size(x["patterns"]) > 0)
+    return df.select(key, F.explode(found).alias("x")).select(key, "x.line_no", "x.line", "x.patterns")
+
+
 def only_matching(df: DataFrame, key: str, text: str, pattern, *, mode: str = "unicode", **options) -> DataFrame:
     """(key, line_no, match): each non-empty matched part of each line, in order."""
     regex = _compiled(pattern, **(options | {"select_only": False}))

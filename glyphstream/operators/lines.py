@@ -14,8 +14,9 @@ MODES = {"unicode": BREAK, "lf": r"\n", "nul": r"\x00"}
 
 def line_array(text: Column, mode: str = "unicode") -> Column:
     """The lines of a text, without terminators; null for a null text."""
-    parts = F.split(text, MODES[mode], -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    # the parts are bound to a name, since an expression used several times is computed several times
+    trimmed = F.transform(F.array(F.split(text, MODES[mode], -1)), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+    return F.get(trimmed, 0)
 
 
 def break_array(text: Column, mode: str = "unicode") -> Column:

@@ -6,6 +6,8 @@ Exit code 0: a line matched; 1: none did; 2: bad usage or pattern; 3: files are
 from __future__ import annotations
 
 import argparse
+import os
+import stat
 import sys
 
 from pyspark.errors import AnalysisException
@@ -24,11 +26,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-f", action="append", default=[], metavar="FILE")
     for flag, dialect in (("-E", "ere"), ("-G", "bre"), ("-P", "pcre"), ("--PROSITE", "prosite"), ("-F", "fixed")):
         p.add_argument(flag, dest="dialect", action="store_const", const=dialect, default="pcre")
-    for flag in "ivwxcqnhHrTZslLo":
+    for flag in "ivwxcqnhHrRTZslLob":
         p.add_argument(f"-{flag}", dest=f"flag_{flag}", action="store_true")
     p.add_argument("-m", type=int)
     p.add_argument("-A", type=int, default=0)
     p.add_argument("-B", type=int, default=0)
+    p.add_argument("-C", type=int, metavar="LINES", help="as -A and -B")
+    p.add_argument("-d", choices=("read", "recurse", "skip"), default="read", help="what to do with directories")
+    p.add_argument("-D", choices=("read", "skip"), default="read", help="what to do with devices")
     p.add_argument("--label", default="(standard input)")
     p.add_argument("--include")
     p.add_argument("--exclude")
@@ -54,6 +59,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except UnsupportedRegex as e:
         print(e, file=sys.stderr)
         return 2
+    if o.C is not None:
+        o.A = o.B = o.C
+    o.flag_r = o.flag_r or o.flag_R or o.d == "recurse"
+    if o.d == "skip":
+        rest = [x for x in rest if not os.path.isdir(x)]
+    if o.D == "skip":
+        rest = [x for x in rest if not os.path.exists(x) or stat.S_ISREG(os.stat(x).st_mode) or os.path.isdir(x)]
+    if o.rest and not rest and (o.e or o.f or len(o.rest) > 1):
+        return 1  # all that was named is skipped
     try:
         df = with_text(read_files(spark, rest, recursive=o.flag_r, include=o.include, exclude=o.exclude, ignore_missing=o.flag_s)) if rest else from_stdin(spark, o.label)
         mode, named = "lf" if o.lf else "unicode", o.flag_H or (not o.flag_h and (len(rest) > 1 or o.flag_r))
@@ -73,6 +87,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif o.flag_o:
             own = grep.only_matching(df, "path", "text", regex, mode=mode).withColumnRenamed("match", "line").orderBy("path", "line_no")
             out = grep.formatted(own, "path", with_key=named, line_numbers=o.flag_n, null_after_name=o.flag_Z, initial_tab=o.flag_T)
+        elif o.flag_b:
+            own = grep.byte_offsets(df, "path", "text", regex).orderBy("path", "offset")
+            own = own.select("path", F.lit(0).alias("line_no"), F.concat(F.col("offset").cast("string"), F.lit(":"), "line").alias("line"))
+            out = grep.formatted(own, "path", with_key=named, null_after_name=o.flag_Z, initial_tab=o.flag_T)
         else:
             own = grep.match(df, "path", "text", regex, invert=o.flag_v, max_count=o.m, before=o.B, after=o.A, mode=mode).orderBy("path", "line_no")
             out = grep.formatted(own, "path", with_key=named, line_numbers=o.flag_n, null_after_name=o.flag_Z, initial_tab=o.flag_T)

@@ -125,6 +125,41 @@ def grep_bre(spark, d):
     return grep.count(docs(spark, d), "doc_id", "text", r"\(th\|er\)\{3,5\}", dialect="bre")
 
 
+def _class_sql(chars: str) -> str:
+    return _count_sql(f"regexp_matches(x, '{chars}')")
+
+
+# In texts of ASCII and Latin letters these sets are the ranges in the SQL
+@query(_class_sql(r"[\x22\x27\x{AB}\x{BB}\x{2018}-\x{201F}]\w"))
+def grep_binary_property(spark, d):
+    return grep.count(docs(spark, d), "doc_id", "text", r"\p{QMark}[a-zA-Z0-9_]")
+
+
+@query(_class_sql(r"[0-9][,.:;][0-9]"))
+def grep_line_break(spark, d):
+    return grep.count(docs(spark, d), "doc_id", "text", r"\p{lb=NU}\p{lb=IS}\p{Line_Break=Numeric}")
+
+
+@query(_class_sql(r"[\x2D\x{58A}\x{5BE}\x{2010}-\x{2015}\x{2212}]"))
+def grep_dash(spark, d):
+    return grep.count(docs(spark, d), "doc_id", "text", r"\p{Dash}")
+
+
+@query(_class_sql(r"[a-z][0-9]"))
+def grep_word_break(spark, d):
+    return grep.count(docs(spark, d), "doc_id", "text", r"[[a-z]&&\p{wb=/letter$/}]\p{WB=Numeric}")
+
+
+_WHICH = ["th[ae]", "License", r"\d{4}"]
+
+
+# All patterns in one pass, with their identity
+@query(f"{DOC_LINES}, e AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS line_no FROM l), t AS (SELECT doc_id, line_no, " + " || ".join(f"CASE WHEN regexp_matches(line, '{p.replace(chr(92) + 'd', '[0-9]')}') THEN '{k},' ELSE '' END" for k, p in enumerate(_WHICH)) + " AS patterns FROM e) SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, rtrim(patterns, ',') AS patterns FROM t WHERE patterns <> ''")
+def grep_which(spark, d):
+    own = grep.which(docs(spark, d), "doc_id", "text", _WHICH)
+    return own.select("doc_id", "line_no", F.array_join(F.col("patterns").cast("array<string>"), ",").alias("patterns"))
+
+
 _SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
