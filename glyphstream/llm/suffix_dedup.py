@@ -131,7 +131,7 @@ def windows_kept(texts: list[bytes], windows: np.ndarray, copies: np.ndarray, de
     return kept
 
 
-def settle(texts: DataFrame, depth: int, first_stays: bool, block: int = 2 << 20) -> DataFrame:
+def settle(texts: DataFrame, depth: int, first_stays: bool, block: int = 1 << 20) -> DataFrame:
     """(id, tie, at) of windows that stay, from runs (key, copies, id, tie, at, text); a task takes about `block` bytes at a time."""
 
     def each(t: pa.Table) -> Iterator[pa.RecordBatch]:
