@@ -284,6 +284,14 @@ def utf8_valid(spark, d):
     return docs(spark, d).select("doc_id", codecs.valid_utf8(F.col("text").cast("binary")).alias("valid"))
 
 
+# a byte that starts nothing before each text and a cut sequence of two bytes behind it
+@query("SELECT doc_id, CAST(3 AS BIGINT) AS n_errors, CAST(0 AS BIGINT) AS first_error, CAST(strlen(text) + 2 AS BIGINT) AS last_error FROM documents WHERE text IS NOT NULL")
+def utf8_errors(spark, d):
+    damaged = F.concat(F.lit(b"\xff"), F.col("text").cast("binary"), F.lit(b"\xe2\x82"))
+    found = docs(spark, d).where("text is not null").select("doc_id", codecs.utf8_errors(damaged).alias("at"))
+    return found.select("doc_id", *[c.cast("bigint").alias(n) for n, c in (("n_errors", F.size("at")), ("first_error", F.array_min("at")), ("last_error", F.array_max("at")))])
+
+
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def lz4_round_trip(spark, d):
     own = docs(spark, d).select("doc_id", lz4_encode(F.col("text").cast("binary")).alias("frame"))

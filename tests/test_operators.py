@@ -163,3 +163,23 @@ def test_lz4_rejects():
     for bad in (b"", b"1234567", encode_frame(b"abc")[:-9]):
         with pytest.raises((ValueError, struct.error)):
             decode_frame(bad)
+
+
+def test_utf8_errors_against_escaped_bytes(spark):
+    rng = random.Random(8)
+    fixed = [b"", b"ok", b"\xff", b"a\xc3", b"\xc3\xa9\xa9", b"\xe2\x82", b"\xed\xa0\x80", b"\xc0\x80", b"\xf4\x90\x80\x80", "\u00e9\u20ac\U0001f600\n".encode(), b"\xf0\x9f\x98\n"]
+    near = [0x41, 0x0A, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC1, 0xC2, 0xE0, 0xE1, 0xED, 0xEF, 0xF0, 0xF1, 0xF4, 0xF5]
+    data = fixed + [bytes(rng.choice(near) for _ in range(rng.randrange(12))) for _ in range(1500)] + [b"\xc3\xa9" * 50_000 + b"\xc3"]
+
+    def escaped(b: bytes) -> list[int]:
+        out, at = [], 0
+        for c in b.decode("utf-8", "surrogateescape"):
+            if "\udc80" <= c <= "\udcff":
+                out.append(at)
+            at += len(c.encode("utf-8", "surrogateescape"))
+        return out
+
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(data)] + [(-1, None)], "k int, b binary")
+    got = {r["k"]: r["e"] for r in df.select("k", codecs.utf8_errors(F.col("b")).alias("e")).collect()}
+    assert got.pop(-1) is None
+    assert got == {k: escaped(b) for k, b in enumerate(data)}
