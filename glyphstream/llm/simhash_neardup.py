@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphstream.llm.common import cut, slices
+from glyphstream.llm.common import cut, release, slices
 from glyphstream.llm.components import connected_components
 from glyphstream.llm.hashing import mix, signed_votes
 
 BITS, SEED = 64, 42
 WIDE, BANDS, BAND_ROWS = 1024, 9, 3
+#: A table of two numbers with so many rows at most is broadcast (1.6 MB).
+BROADCAST_ROWS = 100_000
 _UNIT = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
 #: Offsets that make independent hashes of one: that of the wide fingerprint, then those of the bands.
 _LANES = np.arange(1, BANDS * BAND_ROWS + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -297,10 +299,10 @@ def similar_links(rows: DataFrame, threshold: float, slack: float, most: int, on
     blocks is a bucket of its own.
     """
     keyed = rows.select("sid", "root", F.posexplode("keys").alias("band", "key"))
-    mixed = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     forest = only is None
     if not forest:
-        mixed = mixed.join(only, ["band", "key"], "left_semi")
+        keyed = keyed.join(only, ["band", "key"], "left_semi")
+    mixed = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     mixed = mixed.select("band", "key", F.when(F.col("size") > most, F.ceil(2 * F.col("size") / most).cast("int")).alias("blocks"))
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != mine)
@@ -347,7 +349,7 @@ def confirmed(links: DataFrame, docs: DataFrame, least: DataFrame, width: int, t
     """The links (a, b) whose whole shingle sets have a similarity of `threshold` or more; least has (sid, least), a doc_id of each set."""
     nodes = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct()
     wanted = cut(least.join(nodes, "sid").select("sid", F.col("least").alias("doc_id")))
-    if wanted.count() <= 100_000:
+    if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +407,11 @@ def similar_documents(docs: DataFrame, *, width: int = 5, threshold: float = 0.8
         links = links.unionByName(new)
         open_links = found.join(new, ["a", "b"], "left_anti") if only is None else found.where("a is null")
         only = cut(open_links.select("band", "key").distinct())
-        if only.isEmpty():
+        if not (n := only.count()):
             break
+        if n <= BROADCAST_ROWS:
+            only = F.broadcast(only)
+        del found, new, open_links, rows, roots
+        release(docs.sparkSession)
         low, high = high, max(8, 8 * high)
     return named(own.select("doc_id", "fp", "sid"), links, "sid")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from glyphstream.llm import simhash_neardup
+from glyphstream.llm.components import connected_components
 
 
 def components_of(spark, rows, **options):
@@ -70,3 +71,13 @@ def test_links_of_short_texts(spark, words, more):
         rows += [(2 * i, " ".join(own[:words])), (2 * i + 1, " ".join(own))]
     of = components_of(spark, rows)
     assert all(of[2 * i + 1] == 2 * i for i in range(60))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 17])
+def test_components_in_one_task_and_in_rounds(spark, most):
+    """A long path, a hub, a ring, repeated links, a node linked to itself; both ways give the smallest reachable node."""
+    links = [(k, k + 1) for k in range(-40, 0)] + [(1000, k) for k in range(900, 960)] + [(50 + k, 50 + (k + 7) % 20) for k in range(20)] + [(7, 7), (5, 9), (5, 9), (9, 5)]
+    got = connected_components(spark.createDataFrame(links, "a bigint, b bigint"), most).collect()
+    want = {k: -40 for k in range(-40, 1)} | {k: 900 for k in [*range(900, 960), 1000]} | {k: 50 for k in range(50, 70)} | {5: 5, 9: 5}
+    assert sorted((r["node"], r["root"]) for r in got) == sorted(want.items())
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), most).collect() == []
