@@ -265,25 +265,26 @@ def likely_links(root: np.ndarray, wide: np.ndarray, least: float) -> list[tuple
     return links
 
 
-def further_links(root: np.ndarray, wide: np.ndarray, least: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Of each row's pairs estimated at `least` or more, the closest first, those from `low` on below `high` that join different roots.
+def further_links(root: np.ndarray, wide: np.ndarray, earlier: np.ndarray, least: float, low: int, high: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The pairs estimated at `least` or more that join different roots and have a rank from `low` on below `high`.
 
-    Last, whether there are such pairs from `high` on.
+    A pair's rank is the better of its places in its two rows' lists, the closest first.  Pairs that meet in an earlier
+    band, by the rows' keys of the earlier bands, are left to that band, so each pair has one rank in one bucket.  Last, whether
+    there are such pairs from `high` on.
     """
-    a, b, more = [], [], False
-    for u in range(len(root)):
+    size = len(root)
+    none = np.uint32(size)
+    rank = np.full((size, size), none, np.uint16 if size < 1 << 16 else np.uint32)
+    for u in range(size):
         alike = estimates(wide, u)
+        alike[(earlier == earlier[u]).any(1)] = -1
         alike[u] = -1
         near = np.flatnonzero(alike >= least)
-        if len(near) > low:
-            near = near[np.argsort(-alike[near], kind="stable")]
-            apart = root[near] != root[u]
-            own = near[low:high][apart[low:high]]
-            more = more or bool(apart[high:].any())
-            a.append(np.full(len(own), u))
-            b.append(own)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(a or none), np.concatenate(b or none), more
+        rank[u, near[np.argsort(-alike[near], kind="stable")]] = np.arange(len(near))
+    rank = np.minimum(rank, rank.T)
+    apart = np.triu((rank != none) & (root[:, None] != root), 1)
+    a, b = np.nonzero(apart & (rank >= low) & (rank < high))
+    return a, b, bool((apart & (rank >= high)).any())
 
 
 def estimates(wide: np.ndarray, u: int) -> np.ndarray:
@@ -294,7 +295,7 @@ def estimates(wide: np.ndarray, u: int) -> np.ndarray:
 def similar_links(rows: DataFrame, threshold: float, slack: float, most: int, only: DataFrame | None = None, low: int = 0, high: int = 0) -> DataFrame:
     """Links (band, key, a, b) between the sid of rows (sid, root, wide, keys) of different roots, likely at `threshold` less `slack` or more.
 
-    A forest of each bucket; with `only`, further_links() of those buckets (band, key), and a row without
+    A forest of each bucket; with `only`, the further_links() of those buckets (band, key), and a row without
     a and b for each that has more.  A bucket of one root needs no link.  One of more than `most` rows is cut into blocks, and each pair of
     blocks is a bucket of its own.
     """
@@ -309,11 +310,12 @@ def similar_links(rows: DataFrame, threshold: float, slack: float, most: int, on
     pairs = F.transform(others, lambda k: F.struct(F.least(k, mine).alias("x"), F.greatest(k, mine).alias("y")))
     alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
     dealt = keyed.join(mixed, ["band", "key"]).select("band", "key", "sid", "root", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("at"))
-    dealt = dealt.join(rows.select("sid", "wide"), "sid").select("band", "key", "at.x", "at.y", "sid", "root", "wide")
+    dealt = dealt.join(rows.select("sid", "wide", *[] if forest else ["keys"]), "sid")
+    dealt = dealt.select("band", "key", "at.x", "at.y", "sid", "root", "wide", *[] if forest else [F.slice("keys", 1, F.col("band")).alias("earlier")])
 
-    def found(root: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    def found(root: np.ndarray, wide: np.ndarray, earlier: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, bool]:
         if not forest:
-            return further_links(root, wide, threshold - slack, low, high)
+            return further_links(root, wide, earlier, threshold - slack, low, high)
         links = np.array(likely_links(root, wide, threshold - slack), np.int64).reshape(-1, 2)
         return links[:, 0], links[:, 1], False
 
@@ -323,7 +325,8 @@ def similar_links(rows: DataFrame, threshold: float, slack: float, most: int, on
         for a, b in zip(edges, edges[1:]):
             if b - a > 1:
                 bits = np.frombuffer(b"".join(wide[int(a) : int(b)].to_pylist()), np.uint64).reshape(b - a, -1)
-                x, y, more = found(root[a:b], bits)
+                earlier = None if forest else np.array(t.column("earlier").slice(int(a), int(b - a)).to_pylist(), np.int64).reshape(b - a, band[a])
+                x, y, more = found(root[a:b], bits, earlier)
                 ends = [pa.array([*sid[a + z].tolist(), *[None] * more], pa.int64()) for z in (x, y)]
                 if size := len(ends[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(size, band[a]), pa.int32()), pa.array(np.full(size, key[a]), pa.int64()), *ends], ["band", "key", "a", "b"])
@@ -389,7 +392,7 @@ def similar_documents(docs: DataFrame, *, width: int = 5, threshold: float = 0.8
     Linked are texts whose sets of shingles have a similarity of `threshold` or more; every link is confirmed with the
     whole sets.  Candidates are texts within `radius` of 64 bits; then all different sets that meet in a band.
     Where a bucket's forest has a link that isn't confirmed, its other candidates between different components are
-    tried too, the closest of each text first.  Two
+    tried too, each pair in the first band where it meets, the closest of each text first.  Two
     texts at a similarity of 0.8 meet in no band with a probability of 0.002, and `slack` is 4 standard
     deviations of the estimate there or more, from 5 shingles to 4500.  Nulls, empty texts, repeated rows and empty
     tables as in near_duplicates().

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from glyphstream.llm import simhash_neardup
@@ -81,3 +82,24 @@ def test_components_in_one_task_and_in_rounds(spark, most):
     want = {k: -40 for k in range(-40, 1)} | {k: 900 for k in [*range(900, 960), 1000]} | {k: 50 for k in range(50, 70)} | {5: 5, 9: 5}
     assert sorted((r["node"], r["root"]) for r in got) == sorted(want.items())
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), most).collect() == []
+
+
+def test_further_links_take_each_pair_once():
+    """All likely pairs of different roots, each in the first band where it meets and in one range of ranks."""
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(1 << 40, 60, False).astype(np.uint64) for _ in range(5)]
+    rows = [np.unique(np.concatenate([rng.permutation(s)[: 60 - k], rng.choice(1 << 40, k).astype(np.uint64)])) for s in sets for k in rng.integers(0, 9, 14)]
+    made = [simhash_neardup.wide_sketch(r) for r in rows]
+    wide = np.frombuffer(b"".join(w for w, _ in made), np.uint64).reshape(len(rows), -1)
+    keys = np.array([k for _, k in made])
+    root = rng.integers(0, 30, len(rows))
+    want = {(u, v) for u in range(len(rows)) for v in range(u + 1, len(rows)) if root[u] != root[v] and (keys[u] == keys[v]).any() and simhash_neardup.estimates(wide, u)[v] >= 0.7}
+    got = []
+    for band in range(keys.shape[1]):
+        for key in set(keys[:, band].tolist()):
+            own, low, high, more = np.flatnonzero(keys[:, band] == key), 0, 2, len(rows) > 0
+            while more and len(own) > 1:
+                a, b, more = simhash_neardup.further_links(root[own], wide[own], keys[own, :band], 0.7, low, high)
+                got += zip(own[a].tolist(), own[b].tolist())
+                low, high = high, 2 * high
+    assert len(want) > 100 and sorted(got) == sorted(want)
