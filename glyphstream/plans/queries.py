@@ -169,12 +169,17 @@ def grep_prosite(spark, d):
     return docs(spark, d).select("doc_id", motif.predicate(F.translate("text", _SMALL + "\n", _LARGE + " ")).alias("hit"))
 
 
-@query()
+_WORD = r"[\p{L}\p{M}\p{N}\p{Pc}]"
+
+
+# words and what lies between them: a word of four letters or more, one blank, the same word
+@query(f"{DOC_LINES}, w AS (SELECT doc_id, list_transform(a, lambda x: regexp_extract_all(x, '{_WORD}+|[^{_WORD[1:]}+')) AS ws FROM l) SELECT doc_id, CAST(len(list_filter(ws, lambda w: len(list_filter(range(1, len(w) - 1), lambda i: w[i] = w[i + 2] AND w[i + 1] = ' ' AND length(w[i]) >= 4)) > 0)) AS BIGINT) AS n FROM w")
 def grep_backreference(spark, d):
     return grep.count(docs(spark, d), "doc_id", "text", r"\b(\w{4,}) \1\b")
 
 
-@query()
+# what follows is a comma or a period, so it isn't " of"
+@query(_count_sql(f"regexp_matches(x, 'the {_WORD}+[,.]')"))
 def grep_lookaround(spark, d):
     return grep.count(docs(spark, d), "doc_id", "text", r"(?<=the )\w+(?! of)(?=[,.])")
 
@@ -269,9 +274,14 @@ def base64(spark, d):
     return docs(spark, d).select("doc_id", F.md5(codecs.to_base64(F.col("text").cast("binary"))).alias("digest"))
 
 
-@query("SELECT doc_id, CAST(length(text) * 2 AS BIGINT) AS n_bytes FROM documents")
+_UNITS = "list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN printf('%04x', unicode(c)) ELSE printf('%04x%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) END)"
+
+
+# an astral sign behind each text, so that pairs of surrogates occur
+@query(f"WITH t AS (SELECT doc_id, text || chr(128512) AS text FROM documents), u AS (SELECT doc_id, array_to_string({_UNITS}, '') AS units FROM t) SELECT doc_id, CAST(length(units) // 2 AS BIGINT) AS n_bytes, md5(units) AS digest FROM u")
 def utf16(spark, d):
-    return docs(spark, d).select("doc_id", F.octet_length(codecs.to_utf16(F.col("text"))).cast("bigint").alias("n_bytes"))
+    units = codecs.to_utf16(F.concat("text", F.lit(chr(128512))), "BE")
+    return docs(spark, d).select("doc_id", F.octet_length(units).cast("bigint").alias("n_bytes"), F.md5(F.lower(F.hex(units)).cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, CAST(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) AS BIGINT) AS total FROM documents")
@@ -364,12 +374,21 @@ def parens_errors(spark, d):
 # Approximate search
 
 
-@query()
+_MOTIFS = ["ACGTA", "GATTACA", "TTGCA"]
+#: The usual table of edit distances, a row for each place in a name: d[j + 1] edits for the first j letters of p.
+_HITS = f"""WITH RECURSIVE t AS (SELECT p_partkey, upper(p_name) AS name, p, 0 AS pos, range(0, length(p) + 1) AS d FROM part, (SELECT unnest({_MOTIFS}) AS p)
+UNION ALL SELECT p_partkey, name, p, pos + 1, list_transform(range(0, length(p) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda i: base[i + 1] - i))) FROM
+(SELECT *, list_transform(range(0, length(p) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE least(d[j + 1] + 1, d[j] + CASE WHEN name[pos + 1] = p[j] THEN 0 ELSE 1 END) END) AS base FROM t WHERE pos < length(name))),
+h AS (SELECT p_partkey, p AS pattern, CAST(pos - 1 AS BIGINT) AS pos, CAST(d[-1] AS INT) AS dist FROM t WHERE pos > 0 AND d[-1] <= 2)"""
+
+
+@query(f"{_HITS} SELECT * FROM h")
 def approx_parts(spark, d):
-    return approx.approx_find(table(spark, d, "part"), "p_partkey", "p_name", ["ACGTA", "GATTACA", "TTGCA"], 2)
+    return approx.approx_find(table(spark, d, "part"), "p_partkey", "p_name", _MOTIFS, 2)
 
 
-@query()
+# a window reaches 9 places on; the bound is 3 * (2 + 1) - 8 * 0.25
+@query(f"{_HITS}, u AS (SELECT DISTINCT p_partkey, pos, dist FROM h), w AS (SELECT p_partkey, sum(dist) OVER (PARTITION BY p_partkey ORDER BY pos RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS total FROM u) SELECT p_partkey, CAST(count(*) AS BIGINT) AS n1, CAST(count(*) FILTER (total > 7) AS BIGINT) AS n2 FROM w GROUP BY p_partkey")
 def approx_windows(spark, d):
     return approx.candidate_windows(approx_parts(spark, d), "p_partkey", 3, 8, 0.25, 2)
 
