@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from glyphstream.llm import components, debruijn, fingerprints, language_id, licenses, media, packing, sentencepiece, simhash_neardup, suffix_dedup, toxicity
+from glyphstream.llm.common import checkpoint_dir
 from glyphstream.llm.queries import tokenizer_path
 
 BASE = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, d string, row int"
@@ -420,9 +422,12 @@ def test_empty_tables(spark):
 def test_pipeline(spark):
     import corpus_pipeline
 
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("glyph-pipeline-*/*"))
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.collect()
     assert 100 < len({r["doc_id"] for r in rows}) <= 200 and len(corpus_pipeline.STAGES) == 5
+    assert {x.name for x in set(folder.glob("glyph-pipeline-*/*")) - before if x.is_dir()} == {"3-suffix_dedup"}
 
 
 def test_stages_keep_columns_of_clashing_names_and_clean_rows(spark):
